@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feuillet.llm import leak, mixture, residue, split
+from feuillet.llm import leak, mixture, mojibake, neardup, residue, split
 from feuillet.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose text was read in a wrong encoding."""
+    return mojibake.repair_encoding(table(spark, d, "ged_documents")).select("id")
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Their repaired texts."""
+    return mojibake.repair_encoding(table(spark, d, "ged_documents"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of files with a similarity of at least 0.6 on three words."""
+    return neardup.similar_pairs(table(spark, d, "ged_documents"), 0.6, 3)
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Class of every file, with its number of links to other classes."""
+    membership, pairs = neardup.similar_classes(table(spark, d, "ged_documents"), 0.6, 3)
+    ends = pairs.select(F.col("class_a").alias("class_id")).union(pairs.select("class_b"))
+    return membership.join(ends.groupBy("class_id").agg(F.count("*").alias("links")), "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Files whose text had to be cut."""
     return split.split_oversized(table(spark, d, "ged_documents")).where("passage_no = 2").select("id")
