@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feuillet.llm import leak, mixture, mojibake, neardup, residue, split
+from feuillet.llm import ann, leak, mixture, mojibake, neardup, residue, split
 from feuillet.sources.tables import table
 
 
@@ -33,6 +33,17 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return membership.join(ends.groupBy("class_id").agg(F.count("*").alias("links")), "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of passages with a cosine of at least 0.75, one of them among the five nearest of the other."""
+    near = ann.nearest_vectors(table(spark, d, "shard")).where("cosine >= 0.75")
+    return near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every passage."""
+    return ann.nearest_vectors(table(spark, d, "shard"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Files whose text had to be cut."""
     return split.split_oversized(table(spark, d, "ged_documents")).where("passage_no = 2").select("id")
