@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feuillet.llm import ann, leak, mixture, mojibake, neardup, residue, split
+from feuillet.llm import ann, leak, mixture, mojibake, neardup, ocr, residue, split
 from feuillet.sources.tables import table
 
 
@@ -33,6 +33,16 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return membership.join(ends.groupBy("class_id").agg(F.count("*").alias("links")), "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose text has marks of the page image."""
+    return ocr.clean_scans(table(spark, d, "ged_documents")).select("id")
+
+
+def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Their texts as continuous paragraphs."""
+    return ocr.clean_scans(table(spark, d, "ged_documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of passages with a cosine of at least 0.75, one of them among the five nearest of the other."""
     near = ann.nearest_vectors(table(spark, d, "shard")).where("cosine >= 0.75")
