@@ -145,10 +145,10 @@ CHUNKS = f"""
         UNION ALL
         SELECT x.id, greatest(x.e - 150, x.st + 1), x.n FROM (
             SELECT w.id, w.st, w.n, CASE WHEN w.st + 900 >= w.n OR w.n <= 900 THEN w.n
-                WHEN instr(reverse(substr(s.t, w.st + 151, 750)), chr(10)) > 0 THEN w.st + 900 - instr(reverse(substr(s.t, w.st + 151, 750)), chr(10)) ELSE w.st + 900 END AS e
+                WHEN instr(reverse(replace(substr(s.t, w.st + 151, 750), chr(13), 'x')), chr(10)) > 0 THEN w.st + 900 - instr(reverse(replace(substr(s.t, w.st + 151, 750), chr(13), 'x')), chr(10)) ELSE w.st + 900 END AS e
             FROM w JOIN src s USING (id)) x WHERE x.e < x.n),
     cut AS (SELECT w.id, s.relative_path, w.st, {_strip('''substr(s.t, w.st + 1, CASE WHEN w.st + 900 >= w.n OR w.n <= 900 THEN w.n
-                WHEN instr(reverse(substr(s.t, w.st + 151, 750)), chr(10)) > 0 THEN w.st + 900 - instr(reverse(substr(s.t, w.st + 151, 750)), chr(10)) ELSE w.st + 900 END - w.st)''')} AS text
+                WHEN instr(reverse(replace(substr(s.t, w.st + 151, 750), chr(13), 'x')), chr(10)) > 0 THEN w.st + 900 - instr(reverse(replace(substr(s.t, w.st + 151, 750), chr(13), 'x')), chr(10)) ELSE w.st + 900 END - w.st)''')} AS text
         FROM w JOIN src s USING (id)),
     numbered AS (SELECT id, relative_path, CAST(row_number() OVER (PARTITION BY id ORDER BY st) - 1 AS INT) AS chunk_no, text FROM cut WHERE length(text) > 0),
     chunks AS (SELECT row_number() OVER (ORDER BY {CATEGORY}, relative_path, id, chunk_no) AS chunk_id, {CATEGORY} AS category, n.* FROM numbered n)"""
