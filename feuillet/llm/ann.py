@@ -85,7 +85,7 @@ def rotation(dim: int) -> np.ndarray:
 class Lists:
     """Lists read from the shared folder, the last used kept."""
 
-    def __init__(self, uri: str, dim: int, most_mb: int = 160) -> None:
+    def __init__(self, uri: str, dim: int, most_mb: int = 128) -> None:
         from pyarrow import fs
 
         self.fs, self.path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://")) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
@@ -109,9 +109,12 @@ class Lists:
         return self.kept[number]
 
 
-def scan(queries: np.ndarray, q_norms: np.ndarray, data: np.ndarray, d_norms: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(queries: np.ndarray, q_norms: np.ndarray, data: np.ndarray, d_norms: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, cosine) of the candidates that pass every test. `least` is the k-th best cosine of each query so far."""
     dim = queries.shape[1]
+    if least.max(initial=-1) <= -1:
+        # Nothing is known yet: the block is compared in full and gives the first k-th bests itself.
+        return _best_of(queries @ data.T, least, k)
     limit = np.maximum(0, 2 - 2 * least)  # squared distance of the k-th best
     first = BLOCKS[0]
     product = queries[:, :first] @ data[:, :first].T
@@ -121,9 +124,8 @@ def scan(queries: np.ndarray, q_norms: np.ndarray, data: np.ndarray, d_norms: np
     product += (bar - q_norms[0])[:, None]
     q, x = np.nonzero(product >= d_norms[0])
     if len(q) > 0.12 * product.size:
-        full = queries @ data.T
-        q, x = np.nonzero(full >= (least - 2e-6)[:, None])
-        return q, x, full[q, x]
+        del q, x, product
+        return _best_of(queries @ data.T, least, k)
     out_q, out_x, out_s = [], [], []
     for at in range(0, len(q), 40_000):
         a, b = q[at : at + 40_000], x[at : at + 40_000]
@@ -140,6 +142,13 @@ def scan(queries: np.ndarray, q_norms: np.ndarray, data: np.ndarray, d_norms: np
     return (np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_s)) if out_q else (q, x, np.zeros(0, np.float32))
 
 
+def _best_of(full: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates of a full comparison that reach the k-th best of the block and of before; ties stay."""
+    bar = least if full.shape[1] <= k else np.maximum(least, np.partition(full, -k, axis=1)[:, -k])
+    q, x = np.nonzero(full >= (bar - 2e-6)[:, None])
+    return q, x, full[q, x]
+
+
 def search_part(lists: Lists, centres: np.ndarray, filled: np.ndarray, own: int, low: int, high: int, k: int, probes: int) -> pd.DataFrame:
     """The k nearest of the vectors low to high of one list."""
     ids, stored, turned, norms = lists(own)
@@ -157,9 +166,9 @@ def search_part(lists: Lists, centres: np.ndarray, filled: np.ndarray, own: int,
     for number in order:
         who = np.nonzero(probing[:, number])[0]
         other_ids, _, other, other_norms = lists(number)
-        for at in range(0, len(other_ids), 8192):
-            for piece in np.array_split(who, max(1, len(who) // 2048)):
-                q, x, s = scan(turned[piece], norms[:, piece], other[at : at + 8192], other_norms[:, at : at + 8192], best[piece, 0])
+        for at in range(0, len(other_ids), 4096):
+            for piece in np.array_split(who, max(1, len(who) // 1024)):
+                q, x, s = scan(turned[piece], norms[:, piece], other[at : at + 4096], other_norms[:, at : at + 4096], best[piece, 0], k + 1)
                 q = piece[q]
                 if number == own:
                     keep = x + at != q + low
