@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,21 @@ def top_k(scored: DataFrame, k: int, by: list[str], id_col: str = "chunk_id") ->
 
 
 def hash_embedding(text: Column | str, dim: int = 64) -> Column:
-    """A deterministic offline embedding: token counts in `dim` hashed buckets, at length one."""
-    bucket = F.transform(tokenize(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)))
-    return l2_normalize(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double")))
+    """A deterministic offline embedding: token counts in `dim` buckets (the first 32 bits of the token's MD5), at length one."""
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bucket: dict[str, int] = {}
+        for batch in batches:
+            rows = np.zeros((len(batch), dim), np.float64)
+            for row, tokens in zip(rows, batch.to_pylist()):
+                for t in tokens or ():
+                    at = bucket.get(t)
+                    if at is None:
+                        if len(bucket) > 200_000:
+                            bucket.clear()
+                        at = bucket[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+                    row[at] += 1
+            rows /= np.maximum(1e-300, np.linalg.norm(rows, axis=1, keepdims=True))
+            yield pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), dim).cast(pa.list_(pa.float64()))
+
+    return F.arrow_udf(count, "array<double>")(tokenize(text))
