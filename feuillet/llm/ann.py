@@ -117,15 +117,23 @@ def scan(queries: np.ndarray, q_norms: np.ndarray, data: np.ndarray, d_norms: np
         return _best_of(queries @ data.T, least, k)
     limit = np.maximum(0, 2 - 2 * least)  # squared distance of the k-th best
     first = BLOCKS[0]
-    product = queries[:, :first] @ data[:, :first].T
-    # partial distance > limit * (d / D) * (1 + eps / sqrt(d))^2, written so that one comparison of the product is left
+    # partial distance <= limit * (d / D) * (1 + eps / sqrt(d))^2, written as one product that is then only compared with 0
     bar = limit * (first / dim) * (1 + EPSILON / math.sqrt(first)) ** 2
-    product *= 2
-    product += (bar - q_norms[0])[:, None]
-    q, x = np.nonzero(product >= d_norms[0])
-    if len(q) > 0.12 * product.size:
-        del q, x, product
-        return _best_of(queries @ data.T, least, k)
+    left = np.concatenate([2 * queries[:, :first], (bar - q_norms[0])[:, None], np.full((len(queries), 1), -1.0)], axis=1, dtype=np.float32)
+    right = np.concatenate([data[:, :first], np.ones((len(data), 1)), d_norms[0][:, None]], axis=1, dtype=np.float32)
+    mask = left @ right.T >= 0
+    # A query without near neighbours keeps too many candidates for the test to pay; it is compared in full.
+    wide = np.count_nonzero(mask, axis=1) > 0.12 * mask.shape[1]
+    whole = None
+    if wide.any():
+        rows = np.nonzero(wide)[0]
+        q, x, s = _best_of(queries[rows] @ data.T, least[rows], k)
+        whole = rows[q], x, s
+        if wide.all():
+            return whole
+        mask[rows] = False
+    q, x = np.divmod(np.flatnonzero(mask), mask.shape[1])
+    del mask
     out_q, out_x, out_s = [], [], []
     for at in range(0, len(q), 40_000):
         a, b = q[at : at + 40_000], x[at : at + 40_000]
@@ -139,14 +147,18 @@ def scan(queries: np.ndarray, q_norms: np.ndarray, data: np.ndarray, d_norms: np
                 keep = so_far >= least[a] - 2e-6
             a, b, so_far = a[keep], b[keep], so_far[keep]
         out_q.append(a), out_x.append(b), out_s.append(so_far)
+    if whole is not None:
+        for out, part in zip((out_q, out_x, out_s), whole):
+            out.append(part)
     return (np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_s)) if out_q else (q, x, np.zeros(0, np.float32))
 
 
 def _best_of(full: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The candidates of a full comparison that reach the k-th best of the block and of before; ties stay."""
     bar = least if full.shape[1] <= k else np.maximum(least, np.partition(full, -k, axis=1)[:, -k])
-    q, x = np.nonzero(full >= (bar - 2e-6)[:, None])
-    return q, x, full[q, x]
+    at = np.flatnonzero(full >= (bar - 2e-6)[:, None])
+    q, x = np.divmod(at, full.shape[1])
+    return q, x, full.reshape(-1)[at]
 
 
 def search_part(lists: Lists, centres: np.ndarray, filled: np.ndarray, own: int, low: int, high: int, k: int, probes: int) -> pd.DataFrame:
