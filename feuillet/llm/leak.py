@@ -1,7 +1,7 @@
 """Evaluation passages that stand in training texts.
 
 Seeds are word n-grams of the test items. The corpus frequency of every such n-gram is counted first; each window of
-`run` consecutive words of an item then keeps its rarest n-gram as seed, so any copy of `run` words shares a seed. Texts
+`run` consecutive words of an item then keeps the rarest n-gram that occurs at all as seed, so any copy of `run` words shares a seed. Texts
 that hold a seed are aligned with the item by Smith-Waterman on words, which also scores edited copies.
 """
 
@@ -143,8 +143,12 @@ def leaked_items(
         width = max(1, run - seed_words + 1)
         for start in range(max(1, len(own) - width + 1)):
             window = rank[start : start + width]
-            by_seed[int(window[np.argmin(frequency[window])])].add(index)
-    chosen = np.array(sorted(by_seed))
+            window = window[frequency[window] > 0]  # the others match nothing
+            if len(window):
+                by_seed[int(window[np.argmin(frequency[window])])].add(index)
+    chosen = np.array(sorted(by_seed), dtype=np.int64)
+    if not len(chosen):
+        return rename(spark.createDataFrame([], schema))
     orders = [np.argsort(g, kind="stable") for g in grams]
     model = spark.sparkContext.broadcast((known.value[chosen], [sorted(by_seed[int(c)]) for c in chosen], [(k, w, o, g[o]) for (k, w), g, o in zip(held, grams, orders)]))
 
