@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from feuillet.functions.text import contains_all_terms, query_terms, text_preview
 from feuillet.operators.lexical import LexicalIndex, bm25_scores
-from feuillet.operators.vector import cosines, top_k
+from feuillet.operators.vector import cosines
+from feuillet.plans.shared import write_shared
 
 # Fixed values of the ranking.
 RRF_K, DEPTH, LEAST_DEPTH = 60, 4, 40
@@ -38,10 +39,10 @@ def dense_ranks(index: SearchIndex, queries: DataFrame, vectors: list[tuple[int,
     return best.select("qid", "chunk_id", "cosine", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "chunk_id")).alias("dense_rank"))
 
 
-def lexical_ranks(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """qid, chunk_id, score, lexical_rank, lexical_ref (largest score). Passages without a hit fill the list in their order."""
+def lexical_ranks(index: SearchIndex, queries: DataFrame, scores: DataFrame) -> DataFrame:
+    """qid, chunk_id, score, lexical_rank, lexical_ref (largest score) from the BM25 scores. Passages without a hit fill the
+    list in their order."""
     limit = queries.select("qid", F.greatest(F.lit(LEAST_DEPTH), DEPTH * F.col("top_k")).alias("m"))
-    scores = bm25_scores(index.lexical, queries)
     # Only the first m passages by id can fill the list, so the others need no zero row.
     deepest = queries.agg(F.max(F.greatest(F.lit(LEAST_DEPTH), DEPTH * F.col("top_k")))).first()[0] or 0
     fill = index.chunks.select("chunk_id").orderBy("chunk_id").limit(deepest)
@@ -60,7 +61,7 @@ def exact_chunks(index: SearchIndex, queries: DataFrame) -> DataFrame:
     return low.crossJoin(q).where(phrase | terms).select("qid", "chunk_id", phrase.alias("phrase"), (phrase | (terms & (F.size("terms") > 0))).alias("injectable"))
 
 
-def fuse(index: SearchIndex, queries: DataFrame, dense: DataFrame, lexical: DataFrame, n_chunks: int) -> DataFrame:
+def fuse(index: SearchIndex, queries: DataFrame, dense: DataFrame, lexical: DataFrame, scores: DataFrame, n_chunks: int) -> DataFrame:
     """qid, chunk_id, value, cosine, lex (score against the best), phrase, exact, pass (1 for injected ones)."""
     exact = exact_chunks(index, queries).withColumn("exact", F.lit(True))
     rr = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
@@ -70,7 +71,6 @@ def fuse(index: SearchIndex, queries: DataFrame, dense: DataFrame, lexical: Data
     depth = queries.select("qid", F.least(F.lit(n_chunks), F.greatest(F.lit(LEAST_DEPTH), DEPTH * F.col("top_k"))).alias("fetch"))
     more = exact.where("injectable").join(first.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").join(F.broadcast(depth), "qid").select("qid", "chunk_id", (CHUNK_BOOST / (RRF_K + F.col("fetch"))).alias("value"), F.lit(0.0).alias("cosine"), "phrase", F.lit(True).alias("exact"), F.lit(1).alias("pass"))
     # BM25 is known for every passage with a hit, not only for the ranked ones.
-    scores = bm25_scores(index.lexical, queries)
     top = scores.groupBy("qid").agg(F.max("score").alias("ref"))
     lex = scores.join(F.broadcast(top), "qid").select("qid", "chunk_id", F.when(F.col("ref") > 0, F.col("score") / F.col("ref")).otherwise(0.0).alias("lex"))
     return first.unionByName(more).join(lex, ["qid", "chunk_id"], "left").withColumn("lex", F.coalesce("lex", F.lit(0.0)))
@@ -106,7 +106,9 @@ def rank_documents(index: SearchIndex, queries: DataFrame, fused: DataFrame, thr
 def hybrid_search(index: SearchIndex, queries: DataFrame, vectors: list[tuple[int, list[float]]], threshold: float = THRESHOLD) -> DataFrame:
     """Ranked documents with a preview, for every query of the batch. `queries` is a small driver-made table; so are the vectors."""
     n = index.lexical.corpus_stats.first()["n"]
-    fused = fuse(index, queries, dense_ranks(index, queries, vectors), lexical_ranks(index, queries), n)
+    # Both are read several times below and are of the size of the candidates, so they are written once.
+    scores = write_shared(bm25_scores(index.lexical, queries), "scores")
+    fused = write_shared(fuse(index, queries, dense_ranks(index, queries, vectors), lexical_ranks(index, queries, scores), scores, n), "fused")
     found = rank_documents(index, queries, fused, threshold)
     texts = index.chunks.select("chunk_id", "text").join(F.broadcast(found), "chunk_id").join(F.broadcast(queries.select("qid", "query")), "qid")
     return texts.withColumn("text_preview", text_preview("text", query_terms("query"))).drop("text", "query", "chunk_id")

@@ -307,14 +307,16 @@ def dense_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(DENSE + " SELECT qid, chunk_id, lr AS lexical_rank, round(score, 6) AS score, round(ref, 6) AS lexical_ref FROM lex1 WHERE lr <= m")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = fusion.lexical_ranks(search_index(spark, d), queries_of(spark))
+    index, q = search_index(spark, d), queries_of(spark)
+    found = fusion.lexical_ranks(index, q, lexical.bm25_scores(index.lexical, q))
     return found.select(F.col("qid").cast("int").alias("qid"), "chunk_id", F.col("lexical_rank").cast("long").alias("lexical_rank"), F.round("score", 6).alias("score"), F.round("lexical_ref", 6).alias("lexical_ref"))
 
 
 @query(FUSED + " SELECT qid, chunk_id, round(v, 9) AS value, pass, ex AS exact, ph AS phrase, round(lx, 6) AS lex FROM it")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     index, q = search_index(spark, d), queries_of(spark)
-    fused = fusion.fuse(index, q, fusion.dense_ranks(index, q, query_vectors(spark, d)), fusion.lexical_ranks(index, q), index.chunks.count())
+    scores = write_shared(lexical.bm25_scores(index.lexical, q), "scores")
+    fused = fusion.fuse(index, q, fusion.dense_ranks(index, q, query_vectors(spark, d)), fusion.lexical_ranks(index, q, scores), scores, index.chunks.count())
     return fused.select(F.col("qid").cast("int").alias("qid"), "chunk_id", F.round("value", 9).alias("value"), "pass", "exact", "phrase", F.round("lex", 6).alias("lex"))
 
 
@@ -475,14 +477,14 @@ def listing_with_text(spark: SparkSession, d: str) -> DataFrame:
     return ged(spark, d).where(F.length("extracted_text") > 0).select("id", "relative_path", F.length("extracted_text").cast("long").alias("n")).orderBy("id")
 
 
-@query("SELECT id, file_name, updated_at FROM ged_documents ORDER BY id DESC LIMIT 5")
+@query("SELECT id, file_name, epoch_us(updated_at) AS updated_us FROM ged_documents ORDER BY id DESC LIMIT 5")
 def recent_documents(spark: SparkSession, d: str) -> DataFrame:
-    return catalogue.latest(ged(spark, d).select("id", "file_name", "updated_at"))
+    return catalogue.latest(ged(spark, d).select("id", "file_name", F.unix_micros("updated_at").alias("updated_us")))
 
 
-@query(f"SELECT count(*) AS documents, count(DISTINCT {CATEGORY}) AS categories, count(*) FILTER (length(extracted_text) > 0) AS with_text, max(updated_at) AS last_update FROM ged_documents")
+@query(f"SELECT count(*) AS documents, count(DISTINCT {CATEGORY}) AS categories, count(*) FILTER (length(extracted_text) > 0) AS with_text, epoch_us(max(updated_at)) AS last_update_us FROM ged_documents")
 def dashboard_summary(spark: SparkSession, d: str) -> DataFrame:
-    return ged(spark, d).agg(F.count("*").alias("documents"), F.count_distinct(T.category_of("relative_path")).alias("categories"), F.count_if(F.length("extracted_text") > 0).alias("with_text"), F.max("updated_at").alias("last_update"))
+    return ged(spark, d).agg(F.count("*").alias("documents"), F.count_distinct(T.category_of("relative_path")).alias("categories"), F.count_if(F.length("extracted_text") > 0).alias("with_text"), F.unix_micros(F.max("updated_at")).alias("last_update_us"))
 
 
 @query(f"SELECT id, {CATEGORY} AS category, file_name FROM ged_documents WHERE {CATEGORY} = 'Banque' ORDER BY category, id")
@@ -508,14 +510,14 @@ def user_lookup(spark: SparkSession, d: str) -> DataFrame:
     return users.join(F.broadcast(users.agg(F.lower(F.min("email")).alias("e"))), F.lower("email") == F.col("e")).select("id", "full_name")
 
 
-@query(f"SELECT s.id AS session_id, s.user_id, s.token_hash, s.expires_at, u.email, u.is_email_verified FROM (SELECT DISTINCT id, user_id, token_hash, expires_at FROM user_sessions WHERE expires_at >= TIMESTAMP '{NOW}') s JOIN users u ON u.id = s.user_id")
+@query(f"SELECT s.id AS session_id, s.user_id, s.token_hash, epoch_us(s.expires_at) AS expires_us, u.email, u.is_email_verified FROM (SELECT DISTINCT id, user_id, token_hash, expires_at FROM user_sessions WHERE expires_at >= TIMESTAMP '{NOW}') s JOIN users u ON u.id = s.user_id")
 def session_user_join(spark: SparkSession, d: str) -> DataFrame:
-    return catalogue.sessions_of_users(table(spark, d, "user_sessions"), table(spark, d, "users"), F.expr(f"timestamp '{NOW}'")).select("session_id", "user_id", "token_hash", "expires_at", "email", "is_email_verified")
+    return catalogue.sessions_of_users(table(spark, d, "user_sessions"), table(spark, d, "users"), F.expr(f"timestamp '{NOW}'")).select("session_id", "user_id", "token_hash", F.unix_micros("expires_at").alias("expires_us"), "email", "is_email_verified")
 
 
-@query(f"SELECT id, user_id, expires_at FROM user_sessions WHERE expires_at < TIMESTAMP '{NOW}'")
+@query(f"SELECT id, user_id, epoch_us(expires_at) AS expires_us FROM user_sessions WHERE expires_at < TIMESTAMP '{NOW}'")
 def expired_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return catalogue.expired(table(spark, d, "user_sessions"), F.expr(f"timestamp '{NOW}'")).select("id", "user_id", "expires_at")
+    return catalogue.expired(table(spark, d, "user_sessions"), F.expr(f"timestamp '{NOW}'")).select("id", "user_id", F.unix_micros("expires_at").alias("expires_us"))
 
 
 @query("SELECT id, user_id FROM user_sessions WHERE user_id NOT IN (SELECT id FROM users WHERE NOT is_email_verified)")
@@ -568,6 +570,7 @@ def cache_stats(spark: SparkSession, d: str) -> DataFrame:
     return metrics.cache_replay(h.select("history_id", key.alias("key"), F.try_to_timestamp("searched_at").alias("ts")))
 
 
-@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS calls FROM events GROUP BY 1, 2 HAVING count(*) > 2")
+@query("SELECT user_id, epoch_us(date_trunc('hour', ts)) AS window_start_us, count(*) AS calls FROM events GROUP BY 1, 2 HAVING count(*) > 2")
 def rate_limit_windows(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.over_rate(table(spark, d, "events"), 2, "1 hour")
+    found = metrics.over_rate(table(spark, d, "events"), 2, "1 hour")
+    return found.select("user_id", F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_start_us"), "calls")
