@@ -15,6 +15,7 @@ from feuillet.functions.chunking import explode_passages
 from feuillet.operators import catalogue, fusion, lexical, metrics, sync, vector
 from feuillet.plans.numbering import number_rows
 from feuillet.plans.shared import write_shared
+from feuillet.plans.spread import spread
 from feuillet.sources.store import export_rows
 from feuillet.sources.tables import table
 
@@ -52,7 +53,7 @@ CATEGORY = r"CASE WHEN contains(replace(relative_path, '\', '/'), '/') THEN spli
 @query(f"SELECT id, md5({NORMAL}) AS h, length({NORMAL}) AS n FROM ged_documents WHERE extracted_text IS NOT NULL")
 def normalize_ws(spark: SparkSession, d: str) -> DataFrame:
     t = T.normalize_whitespace("extracted_text")
-    return ged(spark, d).where("extracted_text is not null").select("id", F.md5(t).alias("h"), F.length(t).cast("long").alias("n"))
+    return spread(ged(spark, d).where("extracted_text is not null").select("id", "extracted_text")).select("id", F.md5(t).alias("h"), F.length(t).cast("long").alias("n"))
 
 
 @query("SELECT id, length(extracted_text) > 0 AND length(regexp_replace(extracted_text, '[^\\p{L}]', '', 'g')) / greatest(1, length(extracted_text)) < 0.2 AS garbled FROM ged_documents WHERE extracted_text IS NOT NULL")
@@ -77,7 +78,7 @@ def merge_layers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT t AS term, count(*) AS n, count(DISTINCT id) AS rows FROM (SELECT id, unnest(list_filter(regexp_extract_all(lower(extracted_text), '{T.TOKEN}'), lambda x: x NOT IN ({STOP}))) AS t FROM ged_documents) GROUP BY t")
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
-    per = ged(spark, d).select("id", F.explode(T.tokenize("extracted_text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
+    per = spread(ged(spark, d).select("id", "extracted_text")).select("id", F.explode(T.tokenize("extracted_text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
     return per.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("rows"))
 
 
@@ -171,7 +172,7 @@ SCORES = f"""{LEXICAL}, {_Q},
 def chunks_of(spark: SparkSession, d: str) -> DataFrame:
     """chunk_id (in the order of category, path, number), category, id, relative_path, file_name, file_type, chunk_no, text."""
     rows = ged(spark, d).select("id", "relative_path", "file_name", "file_type", T.category_of("relative_path").alias("category"), F.col("extracted_text").alias("text")).where(F.length("text") > 0)
-    return number_rows(explode_passages(rows, "text"), ["category", "relative_path", "id", "chunk_no"], "chunk_id")
+    return number_rows(explode_passages(spread(rows), "text"), ["category", "relative_path", "id", "chunk_no"], "chunk_id")
 
 
 def queries_of(spark: SparkSession) -> DataFrame:
@@ -181,7 +182,7 @@ def queries_of(spark: SparkSession) -> DataFrame:
 @query(CHUNKS + " SELECT id, chunk_no, md5(text) AS h, length(text) AS n FROM chunks")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = ged(spark, d).select("id", F.col("extracted_text").alias("text")).where(F.length("text") > 0)
-    return explode_passages(rows, "text").select("id", "chunk_no", F.md5("text").alias("h"), F.length("text").cast("long").alias("n"))
+    return explode_passages(spread(rows), "text").select("id", "chunk_no", F.md5("text").alias("h"), F.length("text").cast("long").alias("n"))
 
 
 @query(CHUNKS + " SELECT chunk_id, id, chunk_no FROM chunks")
