@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feuillet.llm.words import WordIds, fold, ngram_hashes, words
+from feuillet.plans.spread import spread
 
 MAX_ITEM_WORDS = 20_000_000  # the held-out side is broadcast to the workers; it may not pass this size
 
@@ -115,7 +116,7 @@ def leaked_items(
     spark = corpus.sparkSession
     held = [(k, w) for k, w in _items(items, item_col, item_text_col) if len(w) >= seed_words]
     kinds = {"bigint": "long", "int": "int", "string": "string"}
-    corpus = corpus.select(corpus[id_col].alias("doc"), corpus[text_col].alias("text"))
+    corpus = spread(corpus.select(corpus[id_col].alias("doc"), corpus[text_col].alias("text")))
     doc_kind, item_kind = kinds[dict(corpus.dtypes)["doc"]], kinds[dict(items.dtypes)[item_col]]
     schema = f"doc {doc_kind}, item {item_kind}, longest_run int, score int, share double, start int, end int"
     rename = lambda df: df.withColumnsRenamed({"doc": id_col, "item": item_col})

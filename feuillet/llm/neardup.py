@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from feuillet.llm.words import WordIds, ngram_hashes, words
 from feuillet.plans.shared import write_shared
+from feuillet.plans.spread import spread
 
 REFERENCES = 16  # the empty fingerprint and fifteen of topics
 SAMPLE_ROWS = 2000  # bound of the sample that the topic references are drawn from
@@ -161,7 +162,7 @@ def similar_classes(df: DataFrame, threshold: float = 0.8, shingle: int = 5, tex
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "same", "bands", *longs])
 
-    signed = write_shared(rows.mapInArrow(sign, "id long, n int, same binary, bands array<long>, " + ", ".join(f"{c} long" for c in longs)), "signatures")
+    signed = write_shared(spread(rows).mapInArrow(sign, "id long, n int, same binary, bands array<long>, " + ", ".join(f"{c} long" for c in longs)), "signatures")
     classes = signed.groupBy("same").agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
     copied = classes.where("members > 1")
     copies = signed.select("id", "same").join(copied, "same").select("id", "class_id").distinct()

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from feuillet.plans.spread import spread
+
 TRIM = " \t\r\n"
 # A separator belongs to the piece before it.
 LEVELS = (
@@ -114,4 +116,4 @@ def split_oversized(
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     kind = "string" if arrow_id.type == pa.string() else "long"
-    return source.mapInArrow(run, f"id {kind}, {PASSAGE_SCHEMA}").withColumnRenamed("id", id_col)
+    return spread(source).mapInArrow(run, f"id {kind}, {PASSAGE_SCHEMA}").withColumnRenamed("id", id_col)
