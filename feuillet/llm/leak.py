@@ -1,8 +1,9 @@
 """Evaluation passages that stand in training texts.
 
-Seeds are word n-grams of the test items. The corpus frequency of every such n-gram is counted first; each window of
-`run` consecutive words of an item then keeps the rarest n-gram that occurs at all as seed, so any copy of `run` words shares a seed. Texts
-that hold a seed are aligned with the item by Smith-Waterman on words, which also scores edited copies.
+Seeds are word n-grams of the test items. The corpus frequency of every such n-gram is counted first, and each that occurs
+at all is a seed: an edited copy need not hold the rarest n-gram of a passage, as verbatim copies elsewhere may hold it.
+Texts that hold a seed are aligned with the item by Smith-Waterman on words, which also scores edited copies, unless a
+bound on the alignment settles the pair before.
 """
 
 from __future__ import annotations
@@ -99,6 +100,44 @@ def _items(items: DataFrame, item_col: str, text_col: str) -> list[tuple[object,
     return [(r[0], ids(words(fold(r[1])))) for r in items.select(item_col, text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).distinct().collect()]
 
 
+class ScoreBounds:
+    """What an item's alignment with a text can score at most, from the words and word pairs of the text alone.
+
+    Every word of the item inside the alignment gives 2 if it stands in the text and costs 1 else; two words in a row that
+    are both in the text, but nowhere in a row, have an insertion between them. The bound is the best stretch of that sum.
+    """
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        pairs = [ngram_hashes(w, 2) for w in items]
+        self.words, self.pairs = np.unique(np.concatenate(items)), np.unique(np.concatenate(pairs))
+        none, free = len(self.words), len(self.pairs)  # one slot more each: a word that never stands, a pair that always does
+        # Each item begins with a separator, which costs more than any item can gain.
+        self.word_at = [np.concatenate([[none], np.searchsorted(self.words, w)]) for w in items]
+        self.pair_at = [np.concatenate([[free, free], np.searchsorted(self.pairs, x)]) for x in pairs]
+        self.apart = 4 * max(len(w) for w in items) + 8
+
+    @staticmethod
+    def _stands(known: np.ndarray, own: np.ndarray, last: bool) -> np.ndarray:
+        out = np.zeros(len(known) + 1, bool)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        out[at[known[at] == own]] = True
+        out[-1] = last
+        return out
+
+    def __call__(self, own: np.ndarray, chosen: list[int]) -> np.ndarray:
+        """The bound of each chosen item for a text of these word ids."""
+        words = np.concatenate([self.word_at[k] for k in chosen])
+        here = self._stands(self.words, own, False)[words]
+        paired = self._stands(self.pairs, ngram_hashes(own, 2), True)[np.concatenate([self.pair_at[k] for k in chosen])]
+        value = np.where(here, 2, np.where(words == len(self.words), -self.apart, -1)).astype(np.int64)
+        step = value.copy()
+        step[1:] -= here[1:] & here[:-1] & ~paired[1:]
+        total = np.cumsum(step)
+        bound = total - np.minimum.accumulate(total - value)
+        sizes = np.array([len(self.word_at[k]) for k in chosen])
+        return np.maximum.reduceat(bound, np.cumsum(sizes) - sizes)
+
+
 def leaked_items(
     corpus: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text",
     run: int = 13, seed_words: int = 4, min_share: float = 0.5,
@@ -107,8 +146,8 @@ def leaked_items(
     (Smith-Waterman), share (score against a whole verbatim copy), start and end of the alignment in words of the text.
 
     A pair comes out if it has at least `run` consecutive words in common, or if its alignment reaches `min_share` of
-    the item's own score. An alignment can't score more than the item's words that stand in the region at all, so pairs
-    under that bound are settled without it. Null and empty texts, and items without words, take no part; items of fewer than `run` words
+    the item's own score and it has at least `seed_words` consecutive words in common. Pairs whose alignment can't
+    score that much by the words and word pairs of the text (`ScoreBounds`) are settled without it. Null and empty texts, and items without words, take no part; items of fewer than `run` words
     come out by their alignment only. Repeated rows of the corpus give a row each; repeated items count once. The items
     are a fixed set of documented size (MAX_ITEM_WORDS) and reach the workers as a broadcast; the corpus is never
     shuffled, only the counts of the items' n-grams are.
@@ -140,13 +179,9 @@ def leaked_items(
 
     by_seed: dict[int, set[int]] = defaultdict(set)
     for index, own in enumerate(grams):
-        rank = np.searchsorted(known.value, own)
-        width = max(1, run - seed_words + 1)
-        for start in range(max(1, len(own) - width + 1)):
-            window = rank[start : start + width]
-            window = window[frequency[window] > 0]  # the others match nothing
-            if len(window):
-                by_seed[int(window[np.argmin(frequency[window])])].add(index)
+        rank = np.unique(np.searchsorted(known.value, own))
+        for seed in rank[frequency[rank] > 0].tolist():  # the others match nothing
+            by_seed[seed].add(index)
     chosen = np.array(sorted(by_seed), dtype=np.int64)
     if not len(chosen):
         return rename(spark.createDataFrame([], schema))
@@ -155,7 +190,7 @@ def leaked_items(
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, owners, texts = model.value
-        ids = WordIds()
+        ids, bounds = WordIds(), ScoreBounds([t[1] for t in texts])
         for batch in batches:
             docs, rows = batch.column(0), []
             tries: list[tuple[int, int, int, int, np.ndarray]] = []  # row, item, longest run, start of the region, its words
@@ -164,11 +199,14 @@ def leaked_items(
                 for position, seed in zip(where.tolist(), index.tolist()):
                     for item in owners[seed]:
                         at[item].append(position)
-                for item, positions in at.items():
+                for (item, positions), most in zip(at.items(), bounds(own, list(at)).tolist()):
                     _, target, order, ordered = texts[item]
+                    able = most >= 2 * min_share * len(target)
+                    if not able and len(positions) <= run - seed_words:
+                        continue  # every n-gram of a run would be a seed
                     for low, high in _regions(positions, len(target), len(own)):
                         common = longest_run(own_grams[low : max(low, high - seed_words + 1)], order, ordered, seed_words)
-                        if common >= run or np.isin(target, own[low:high]).mean() >= min_share:
+                        if common >= run or able and np.isin(target, own[low:high]).mean() >= min_share:
                             tries.append((k, item, common, low, own[low:high]))
             score, end = smith_waterman([t[4] for t in tries], [texts[t[1]][1] for t in tries])
             best: dict[tuple[int, int], int] = {}

@@ -81,3 +81,23 @@ def test_edited_copy_is_found(spark):
     edited = "début un deux trois quatre cinq six autre huit neuf dix onze douze treize rien quinze seize fin"
     got = leak.leaked_items(spark.createDataFrame([(1, edited)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).first()
     assert (got.doc_id, got.item_id, got.longest_run) == (1, 7, 6) and got.share > 0.7 and (got.start, got.end) == (1, 17)
+
+
+def test_edited_copy_beside_a_verbatim_one_is_found(spark):
+    words = [f"mot{i}" for i in range(40)]
+    edited = [w if i % 8 != 7 else f"autre{i}" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "mot1 mot2 mot3 mot4 et rien de plus")], "doc_id long, text string")
+    got = {r.doc_id: r for r in leak.leaked_items(docs, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2} and got[2].longest_run == 7 and 0.7 < got[2].share < 1
+
+
+def test_bounds_are_never_under_the_score():
+    rng = np.random.default_rng(4)
+    items = [rng.integers(0, 9, rng.integers(4, 30)).astype(np.uint64) for _ in range(40)]
+    bounds = leak.ScoreBounds(items)
+    for _ in range(20):
+        text = rng.integers(0, 12, rng.integers(4, 40)).astype(np.uint64)
+        chosen = rng.permutation(40)[:15].tolist()
+        score, _ = leak.smith_waterman([text] * 15, [items[k] for k in chosen])
+        assert (bounds(text, chosen) >= score).all()
+    assert bounds(items[3], [5, 3]).tolist()[1] == 2 * len(items[3])
