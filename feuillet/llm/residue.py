@@ -3,8 +3,8 @@
 A text is cut into segments (lines, sentences, menu entries); numbers, addresses and dates in a segment are masked and
 the exact masked form is hashed. Forms are grouped over all rows and sources. Phrase rules classify a form as error
 message, script notice or filler; a weaker set of cue words counts only for forms that recur widely, in several
-sources. Placeholder rules look at the whole text. Every rule needs one of a list of stems, so one automaton finds the
-texts that can match at all, and only those are cut and sent on.
+sources. Placeholder rules look at the whole text. Every text is cut and every form judged; only texts with a message or
+a cue are sent on.
 """
 
 from __future__ import annotations
@@ -79,19 +79,8 @@ morbi tristique senectus netus malesuada fames ac turpis egestas fusce viverra a
 mattis ligula libero augue semper purus gravida nunc varius vel blandit lectus interdum integer neque bibendum metus
 phasellus suspendisse praesent curabitur vivamus at sem tincidunt molestie facilisis risus nibh diam quam odio cursus
 sodales imperdiet hendrerit convallis urna elementum dictum dui""".split())
-# Stems; a rule of that kind can match only a form that holds one.
-STEMS = {
-    "notice": "script cookies navigateur browser activez-le".split(),
-    "error": """erreur|error|http|gateway|not found|forbidden|timeout|time-out|unavailable|request|denied|incident|trace|, line|fatal|warning
-|exception|unhandled|memory exh|page |url |resource |indisponible|en maintenance|is down|session|accès refusé|accès interdit|accès non
-|vous n'|délai d'attente|impossible|timed out|refused|refusée|échoué|failed|went wrong|réessayez|try again|unauthorized|too many|status""".replace("\n", "").split("|"),
-    "filler": """votre |your |texte |contenu |à rédiger|à venir|à remplacer|ne pas diffuser|merci de remplacer|before use|to be written|coming soon|construction
-|ceci est|sample|dummy|placeholder|filler|this is|insérer|insert|saisir|inserer|test test|azerty|qwerty|asdf|paragraphe type|lettre type|titre de la section
-|xxx|lorem|ipsum|dolor|velit|nulla|magna|sapien|mauris|lacus|rutrum|ornare|tempor""".replace("\n", "").split("|"),
-}
 CUE = re.compile(r"\b(?:erreur|error|indisponible|unavailable|introuvable|maintenance|script|javascript|cookies?|navigateur|browser|session|exception|timeout|serveur|server|exemple|sample|template|modèle|placeholder|accueil)\b")
 MENU = re.compile(r"(?:retour (?:à|au)|back to|accueil|home|menu|aide|help|mes dossiers|mentions légales|contact|plan du site)\b.{0,40}")
-TWICE = re.compile(r"\b([^\W\d_]+)[ \t\r\n]+\1[ \t\r\n]+\1\b")
 
 
 def _whole(patterns: tuple[str, ...]) -> list[re.Pattern]:
@@ -113,36 +102,45 @@ def mask(segment: str) -> str:
     return NUMBER.sub("#", DATE.sub("¤", ADDRESS.sub("§", form)))
 
 
-def kind_of(form: str, kinds: set[str]) -> str | None:
-    """notice, error, filler or menu, by the whole masked form; null for anything else. Only rules of `kinds` are tried."""
+def kind_of(form: str) -> str | None:
+    """notice, error, filler or menu, by the whole masked form; null for anything else."""
     for kind, patterns in RULES:
-        if kind in kinds and any(p.fullmatch(form) for p in patterns):
+        if any(p.fullmatch(form) for p in patterns):
             return kind
-    if "filler" in kinds:
-        words = re.findall(r"[^\W\d_]+", form)
-        if len(words) >= 3 and sum(w in LATIN for w in words) >= 0.8 * len(words):
-            return "filler"
+    words = re.findall(r"[^\W\d_]+", form)
+    if len(words) >= 3 and sum(w in LATIN for w in words) >= 0.8 * len(words):
+        return "filler"
     return "menu" if len(form) < 80 and MENU.fullmatch(form) else None
 
 
-def examine(text: str | None, automaton, max_words: int = 14) -> tuple[bool, list[tuple[int, str | None, bool, bool, int]]]:
-    """(holds a placeholder, segments as (hash of the form, kind, cue, real sentence, length)); no segments where no rule
-    can match. A segment over several lines that matches no rule is tried line by line."""
+class Judge:
+    """(hash, kind, cue, number of words) of a masked form; the cache is emptied at `most` forms."""
+
+    def __init__(self, max_words: int = 14, most: int = 100_000) -> None:
+        self.known: dict[str, tuple[int, str | None, bool, int]] = {}
+        self.max_words, self.most = max_words, most
+
+    def __call__(self, form: str) -> tuple[int, str | None, bool, int]:
+        found = self.known.get(form)
+        if found is None:
+            if len(self.known) > self.most:
+                self.known.clear()
+            kind, n_words = kind_of(form), form.count(" ") + 1
+            cue = kind is None and n_words <= self.max_words and CUE.search(form) is not None
+            found = self.known[form] = xxhash.xxh64_intdigest(form) - (1 << 63), kind, cue, n_words
+        return found
+
+
+def examine(text: str | None, judged: Judge) -> tuple[bool, list[tuple[int, str | None, bool, bool, int]]]:
+    """(holds a placeholder, segments as (hash of the form, kind, cue, real sentence, length)); no segments where none is
+    a message or has a cue. A segment over several lines that matches no rule is tried line by line."""
     if not text:
         return False, []
     marked = PLACEHOLDER.search(text) is not None
-    if next(automaton.iter(text.lower()), None) is None and not TWICE.search(text):
-        return marked, []
 
     def judge(part: str) -> tuple[int, str | None, bool, bool, int]:
-        form = mask(part)
-        kinds = {k for _, k in automaton.iter(form)}
-        if TWICE.search(form):
-            kinds.add("filler")
-        kind = kind_of(form, kinds)
-        n_words = form.count(" ") + 1
-        cue = kind is None and n_words <= max_words and CUE.search(form) is not None
-        return xxhash.xxh64_intdigest(form) - (1 << 63), kind, cue, kind is None and part[-1] in ".!?…" and n_words >= 4, len(part)
+        form, kind, cue, n_words = judged(mask(part))
+        return form, kind, cue, kind is None and part[-1] in ".!?…" and n_words >= 4, len(part)
 
     out = []
     for part in filter(None, map(str.strip, CUT.split(text))):
@@ -168,17 +166,11 @@ def classify_residue(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     schema = pa.schema([("row_id", {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]), ("bit", pa.int32()), ("placeholder", pa.bool_()), ("form", pa.int64()), ("kind", pa.string()), ("cue", pa.bool_()), ("real", pa.bool_()), ("chars", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for kind, stems in STEMS.items():
-            for stem in stems:
-                automaton.add_word(stem, kind)
-        automaton.make_automaton()
+        judged = Judge()
         for batch in batches:
             out: list[tuple] = []
             for key, bit, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                marked, parts = examine(text, automaton)
+                marked, parts = examine(text, judged)
                 if marked:
                     out.append((key, bit, True, None, None, False, False, 0))
                 out += [(key, bit, False, *x) for x in parts]

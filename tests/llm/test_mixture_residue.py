@@ -60,3 +60,10 @@ def test_recurring_messages_need_several_sources(spark):
     rows = [(i, odd, f"s{i % 4}") for i in range(40)] + [(100 + i, "Consultez le serveur voisin", "s1") for i in range(40)]
     got = {r.doc_id for r in residue.classify_residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == set(range(40))
+
+
+def test_every_text_is_judged(spark):
+    latin = "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat."
+    rows = [(1, latin, "s1"), (2, REAL, "s1")] + [(100 + i, "Modèle introuvable au guichet", f"s{i % 4}") for i in range(40)]
+    got = {r.doc_id for r in residue.classify_residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1, *range(100, 140)}
