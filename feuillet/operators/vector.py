@@ -57,6 +57,38 @@ def cosines(vectors: DataFrame, queries: list[tuple[int, list[float]]], vector_c
     return rows.mapInArrow(run, f"qid long, {fields}, cosine double")
 
 
+def best_cosines(vectors: DataFrame, queries: list[tuple[int, list[float]]], vector_col: str, keep: list[str], k: int, by: str | None = None, block: int = 256) -> DataFrame:
+    """The rows of `cosines` that can be among the k best of a query (and of a value of the kept column `by`): each Arrow
+    batch is scored against one block of queries after the other and keeps its own k best, with all ties of the last."""
+    spark = vectors.sparkSession
+    names = np.array([q for q, _ in queries], np.int64)
+    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+    matrix /= np.maximum(1e-300, np.linalg.norm(matrix, axis=1, keepdims=True))
+    own = spark.sparkContext.broadcast((names, matrix))
+    rows = vectors.select(*keep, F.col(vector_col).alias("__v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = own.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            length = np.maximum(1e-300, np.linalg.norm(v, axis=1, keepdims=True))
+            group = batch.column(keep.index(by)).dictionary_encode("encode").indices.to_numpy() if by else np.zeros(batch.num_rows, np.int64)
+            members = [np.nonzero(group == g)[0] for g in np.unique(group)]
+            for start in range(0, len(qids), block):
+                cos = np.round((v @ q[start : start + block].T) / length, 9)
+                for at in members:
+                    part = cos[at]
+                    least = np.partition(part, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(part.shape[1], -np.inf)
+                    row, column = np.nonzero(part >= least)
+                    kept = batch.select(list(range(len(keep)))).take(pa.array(at[row]))
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[start + column]), *kept.columns, pa.array(part[row, column])], names=["qid", *keep, "cosine"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInArrow(run, f"qid long, {fields}, cosine double")
+
+
 def top_k(scored: DataFrame, k: int, by: list[str], id_col: str = "chunk_id") -> DataFrame:
     """The k rows of the largest cosine for each `by`, ties to the smaller id, with their rank. The limit runs before the shuffle."""
     w = Window.partitionBy(*by).orderBy(F.desc("cosine"), id_col)

@@ -116,3 +116,23 @@ def test_cache():
     for k in "xyz":
         cache.put(k, k)
     assert list(cache.entries) == ["y", "z"]
+
+
+def test_best_cosines_are_the_top_k_of_all(spark):
+    rows = spark.createDataFrame([(i, i % 3, [float((i * 7) % 11), float(i % 5), 1.0]) for i in range(200)], "chunk_id long, label int, v array<double>")
+    asked = [(i, [float(i), 1.0, float(i % 2)]) for i in range(7)]
+    for by in (None, "label"):
+        keys = ["qid", *([by] if by else [])]
+        want = vector.top_k(vector.cosines(rows, asked, "v", ["chunk_id", "label"]), 4, keys).collect()
+        best = vector.best_cosines(rows, asked, "v", ["chunk_id", "label"], 4, by, block=3)
+        assert sorted(vector.top_k(best, 4, keys).collect()) == sorted(want)
+        assert best.count() < 7 * 200
+
+
+def test_every_50th_vector_asks(spark):
+    from feuillet.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
+    for name in ("dense_topk_50", "dense_topk_per_shard_50"):
+        assert {r.qid for r in QUERIES[name](spark, d).select("qid").distinct().collect()} == ids and len(ids) > 4
