@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feuillet.llm.words import WordIds, ngram_hashes, words
+from feuillet.llm.words import tokens
 from feuillet.plans.shared import write_shared
 from feuillet.plans.spread import spread
 
@@ -29,10 +29,6 @@ ROWS_PER_BAND = 4
 SKETCH_LONGS = 4
 
 
-def shingle_set(ids: np.ndarray, n: int) -> np.ndarray:
-    return np.unique(ngram_hashes(ids, n))
-
-
 def bands_for(threshold: float, miss: float = 5e-4) -> int:
     """Bands of ROWS_PER_BAND values so that a pair at the threshold shares none with at most this chance."""
     return math.ceil(math.log(miss) / math.log(1 - threshold**ROWS_PER_BAND))
@@ -106,8 +102,14 @@ def _text(df: DataFrame, id_col: str, name_col: str | None, text_col: str) -> Da
     return df.select(df[id_col].cast("long").alias("id"), (df[name_col] if name_col else none).alias("name"), df[text_col].alias("text")).where(F.col("id").isNotNull())
 
 
-def _sets(batch: pa.RecordBatch, n: int, ids: WordIds) -> list[np.ndarray]:
-    return [shingle_set(ids(words(a) + words(b)), n) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+def _sets(names: list[str | None], texts: list[str | None], n: int) -> list[np.ndarray]:
+    """The set of sequences of n words of each name with its text, in order."""
+    found = tokens([f"{a or ''} {b or ''}" for a, b in zip(names, texts)])
+    hashes, text, _ = found.ngrams(n)
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    first = np.concatenate([[True], (np.diff(text) != 0) | (hashes[1:] != hashes[:-1])])[: len(hashes)]
+    return np.split(hashes[first], np.cumsum(np.bincount(text[first], minlength=len(names)))[:-1]) if len(names) else []
 
 
 def _fit_signer(rows: DataFrame, n: int, threshold: float) -> Signer:
@@ -115,8 +117,8 @@ def _fit_signer(rows: DataFrame, n: int, threshold: float) -> Signer:
     share = min(1.0, 1.5 * SAMPLE_ROWS / max(total, 1))
     h = F.xxhash64("id")
     picked = rows.where(h <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))) if share < 1 else rows
-    ids = WordIds()
-    sample = [shingle_set(ids(words(r[1]) + words(r[2])), n) for r in picked.orderBy(h).limit(SAMPLE_ROWS).collect()]
+    sample = picked.orderBy(h).limit(SAMPLE_ROWS).collect()
+    sample = _sets([r[1] for r in sample], [r[2] for r in sample], n)
     return Signer(topic_references(sample), bands_for(threshold))
 
 
@@ -145,11 +147,10 @@ def similar_classes(df: DataFrame, threshold: float = 0.8, shingle: int = 5, tex
     longs = [*(f"v{k}" for k in range(REFERENCES // 4)), *(f"f{k}" for k in range(SKETCH_LONGS))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for whole in batches:
             for low in range(0, whole.num_rows, 2000):
                 batch = whole.slice(low, 2000)
-                sets = _sets(batch, shingle, ids)
+                sets = _sets(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle)
                 keep = [k for k, s in enumerate(sets) if len(s)]
                 if not keep:
                     continue
@@ -186,9 +187,8 @@ def similar_classes(df: DataFrame, threshold: float = 0.8, shingle: int = 5, tex
     wanted = survivors.select(F.col("a").alias("id")).union(survivors.select("b")).distinct()
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for batch in batches:
-            sets = _sets(batch, shingle, ids)
+            sets = _sets(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "grams"])
 
     sets = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(full, "id long, grams array<long>")

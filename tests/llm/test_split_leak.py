@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from feuillet.llm import leak, split
-from feuillet.llm.words import fold, words
+from feuillet.llm.words import fold, tokens, word_id, words
 
 
 @settings(max_examples=150, deadline=None)
@@ -101,3 +102,41 @@ def test_bounds_are_never_under_the_score():
         score, _ = leak.smith_waterman([text] * 15, [items[k] for k in chosen])
         assert (bounds(text, chosen) >= score).all()
     assert bounds(items[3], [5, 3]).tolist()[1] == 2 * len(items[3])
+
+
+@pytest.mark.parametrize("every", [6, 5, 4])
+def test_recall_of_edited_copies_beside_verbatim_ones(spark, every):
+    """Twenty items, each once edited in every sixth, fifth or fourth word, with three verbatim copies in the same corpus."""
+    rng = random.Random(every)
+    vocabulary = [f"mot{i}" for i in range(900)]
+    items = [(k, rng.choices(vocabulary, k=60)) for k in range(20)]
+    docs = [(1000 + i, " ".join(rng.choices(vocabulary, k=150))) for i in range(100)]
+    around = lambda w: " ".join([*rng.choices(vocabulary, k=20), *w, *rng.choices(vocabulary, k=20)])
+    for k, w in items:
+        docs += [(2000 + 10 * k + n, around(w)) for n in range(3)]
+        docs.append((k, around([f"autre{i}" if i % every == every - 1 else x for i, x in enumerate(w)])))
+    got = leak.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()
+    pairs = {(r.doc_id, r.item_id) for r in got}
+    assert sum((k, k) in pairs for k in range(20)) >= 18
+    assert {(2000 + 10 * k + n, k) for k in range(20) for n in range(3)} <= pairs
+
+
+def test_held_out_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"mot{i}" for i in range(200)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=30))) for k in range(9)]
+    docs = spark.createDataFrame([(k, "avant " + items[k % 9][1] + " après " + "et puis " * 50_000 * (k == 3)) for k in range(12)] + [(None, items[0][1])], "doc_id long, text string")
+    held = spark.createDataFrame(items, "item_id long, text string")
+    once = {tuple(r) for r in leak.leaked_items(docs, held).collect()}
+    monkeypatch.setattr(leak, "BLOCK_CHARS", 500)
+    assert {tuple(r) for r in leak.leaked_items(docs, held).collect()} == once and {(r[0], r[1]) for r in once} == {(k, k % 9) for k in range(12)} | {(None, 0)}
+
+
+def test_tokens_equal_the_plain_form():
+    rng = random.Random(2)
+    alphabet = "ab é.Éàœ ﬁ½İΣς_-'ȩ́ 9²… —Ç한x😀𝐀ß\n"
+    texts = ["".join(rng.choices(alphabet[: rng.randint(3, len(alphabet))], k=rng.randint(0, 60))) for _ in range(400)] + ["", None, "́", "́a"]
+    for folded in (False, True):
+        found = tokens(texts, folded)
+        for k, t in enumerate(texts):
+            assert found.of(k).tolist() == [word_id(w) for w in words(fold(t or "") if folded else t)]
