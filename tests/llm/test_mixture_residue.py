@@ -67,3 +67,41 @@ def test_every_text_is_judged(spark):
     rows = [(1, latin, "s1"), (2, REAL, "s1")] + [(100 + i, "Modèle introuvable au guichet", f"s{i % 4}") for i in range(40)]
     got = {r.doc_id for r in residue.classify_residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {1, *range(100, 140)}
+
+
+def test_null_ids_are_told_apart(spark):
+    df = spark.createDataFrame([(None, CASES[4][0], "a"), (None, REAL, "a"), (None, None, "b"), (7, REAL, None), (7, CASES[5][0], "b")], "doc_id long, text string, source string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in residue.without_residue(df).collect()) == sorted([(0, REAL), (0, ""), (7, REAL)])
+
+
+CUES = "erreur error indisponible unavailable introuvable maintenance script javascript cookie cookies navigateur browser session exception timeout serveur server exemple sample template modèle placeholder accueil".split()
+
+
+def test_every_cue_word_is_grouped(spark):
+    """A short message with each cue word that recurs in several sources is found, and the same in one source or within real texts is not."""
+    message, quoted = "Consultez le {} voisin du guichet", "Voyez donc le {} de la mairie."
+    rows = [(1000 * n + i, message.format(cue), f"s{i % 4}") for n, cue in enumerate(CUES) for i in range(25)]
+    rows += [(1_000_000 + 1000 * n + i, message.format(cue).replace("voisin", "proche"), "s1") for n, cue in enumerate(CUES) for i in range(25)]
+    rows += [(2_000_000 + 1000 * n + i, REAL + " " + quoted.format(cue), f"s{i % 4}") for n, cue in enumerate(CUES) for i in range(25)]
+    found = residue.classify_residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in found} == {1000 * n + i for n in range(len(CUES)) for i in range(25)} and all(r.recurring for r in found)
+
+
+def test_recurrence_decides(spark):
+    """The same message beside a title counts where it recurs, and not where it stands once under real text."""
+    text = "Note de service\nLa procédure est prête. Une erreur est survenue."
+    one = spark.createDataFrame([(1, text, "a"), (2, REAL, "b")], "doc_id long, text string, source string")
+    two = one.unionByName(spark.createDataFrame([(3, "Une erreur est survenue.", "b")], one.schema))
+    assert [r.doc_id for r in residue.classify_residue(one).collect()] == []
+    assert sorted(r.doc_id for r in residue.classify_residue(two).collect()) == [1, 3]
+
+
+def test_literals_lose_no_rule():
+    """Looking at the literals first gives what trying every rule gives."""
+    kinds = residue.Kinds()
+    forms = [residue.mask(p) for t, _ in CASES.values() if t for p in residue.CUT.split(t[:3000])]
+    forms += [f"avant {s} après" for _, rule in residue.RULES for s in residue.stems(rule.pattern)] + [s for _, rule in residue.RULES for s in residue.stems(rule.pattern)]
+    forms += [f"{a} {b}." for a in ("erreur", "page", "la page demandée", "veuillez activer", "votre session a", "bad gateway") for b in ("#", "javascript", "expiré", "est indisponible", "status", "introuvable")]
+    for f in forms:
+        plain = next((k for k, rule in residue.RULES if rule.fullmatch(f) and (k != "menu" or len(f) < 80)), None)
+        assert kinds(f) == (plain, residue.CUE.search(f) is not None)
