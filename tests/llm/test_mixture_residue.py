@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +107,29 @@ def test_literals_lose_no_rule():
     for f in forms:
         plain = next((k for k, rule in residue.RULES if rule.fullmatch(f) and (k != "menu" or len(f) < 80)), None)
         assert kinds(f) == (plain, residue.CUE.search(f) is not None)
+
+
+def test_cells_are_fitted_alike_where_they_lie(spark):
+    """Many levels of topics, fitted on the driver and as a table, give the same draw."""
+    rows = [(i, "x" * (50 + i % 300), ["fr", "en", None][i % 3], ["a", "b", None][i % 7 % 3], "t" + str(i % 200)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, category string")
+    targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.2, 2), (None, 0.1, 3)], "source string, target_share double, max_repeats int")
+    here, there = mixture.plan_mixture(df, targets), mixture.plan_mixture(df, targets, driver_cells=10)
+    assert {r.source: (r.size_tokens, r.short, round(r.fitted_tokens / r.wanted_tokens, 6)) for r in here.limits.collect()} == {r.source: (r.size_tokens, r.short, round(r.fitted_tokens / r.wanted_tokens, 6)) for r in there.limits.collect()}
+    weights = [{(r.source, r.lang, r.topic): r.copies for r in m.cells.collect()} for m in (here, there)]
+    assert weights[0].keys() == weights[1].keys() and len(weights[0]) > 600 and all(weights[0][k] == pytest.approx(weights[1][k], rel=1e-6) for k in weights[0])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_shares_of_the_test_tables(spark):
+    """Sources that can reach their share do so within the tokens of a few rows; short ones stand at their most copies."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    report = mixture.mixture_report(read("documents"), read("source_targets")).collect()
+    longest = read("documents").agg(F.max(F.octet_length("text"))).first()[0]
+    for r in report:
+        if r.short:
+            assert r.drawn_tokens == r.max_repeats * r.size_tokens
+        else:
+            assert r.fitted_tokens == pytest.approx(r.wanted_tokens, rel=1e-5)
+            assert abs(r.drawn_tokens - r.wanted_tokens) <= 3 * longest * max(1, r.drawn_rows) ** 0.5 * 0.5
+    assert sum(r.actual_share for r in report) == pytest.approx(1)
