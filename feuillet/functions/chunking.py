@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,24 +12,27 @@ from pyspark.sql import functions as F
 SIZE, OVERLAP = 900, 150  # fixed values of the index
 
 
-def spans(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
-    """Start and end of each window. A window ends at the last line end of its final size - overlap characters, if any."""
-    start, length = 0, len(text)
-    while start < length:
-        stop = min(length, start + size)
-        if stop < length:
-            cut = text.rfind("\n", start + overlap, stop)
-            stop = cut if cut > start else stop
-        yield start, stop
-        if stop >= length:
-            return
-        start = max(stop - overlap, start + 1)
+def line_ends(text: str) -> list[int]:
+    found, at = [], text.find("\n")
+    while at >= 0:
+        found.append(at)
+        at = text.find("\n", at + 1)
+    return found
 
 
 def passages(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """The trimmed, non-empty passages of a text; none for null or blank ones."""
+    """The trimmed, non-empty passages of a text; none for null or blank ones. A passage ends at the last line end of its
+    final size - overlap characters, if there is one, and the next starts `overlap` characters before that end."""
     text = (text or "").strip()
-    return [p for p in (text[a:b].strip() for a, b in spans(text, size, overlap)) if p] if len(text) > size else [text] if text else []
+    ends = line_ends(text) if len(text) > size else []
+    bounds, low = [], 0
+    while low + size < len(text):
+        nearest = bisect_left(ends, low + size) - 1
+        high = ends[nearest] if nearest >= 0 and ends[nearest] >= low + overlap else low + size
+        bounds.append((low, high))
+        low = max(high - overlap, low + 1)
+    bounds.append((low, len(text)))
+    return [p for p in (text[a:b].strip() for a, b in bounds) if p]
 
 
 def explode_passages(df: DataFrame, text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feuillet.functions.text import tokenize
@@ -46,14 +46,31 @@ def build_index(chunks: DataFrame, text_col: str = "text") -> LexicalIndex:
     return LexicalIndex(postings, stats, corpus)
 
 
+BUCKETS = 16  # parts of stored postings; a search reads those of its terms only
+
+
+def bucket_of(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def bucketed(postings: DataFrame) -> DataFrame:
+    """Postings laid out to be stored: by bucket of the term, sorted by term, so that scans skip what a search doesn't need.
+    They are to be written with `partitionBy("bucket")`."""
+    return postings.withColumn("bucket", bucket_of("term")).repartition("bucket").sortWithinPartitions("bucket", "term")
+
+
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """qid, chunk_id, score of the passages that hold a token of the query. Each distinct token counts once.
 
     A batch of queries has few distinct tokens, so those are joined first to the term statistics and the result to the
-    postings, whose partitions are pruned by it where the postings are bucketed by term.
+    postings; of stored postings only the buckets of these tokens are read.
     """
     terms = queries.select("qid", F.explode(F.array_distinct(tokenize("query"))).alias("term"))
+    postings = index.postings
+    if "bucket" in postings.columns:
+        wanted = [r[0] for r in terms.select(bucket_of("term")).distinct().collect()]  # at most BUCKETS
+        postings = postings.where(F.col("bucket").isin(wanted)).drop("bucket")
     weighted = terms.join(index.term_stats, "term").crossJoin(F.broadcast(index.corpus_stats))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return index.postings.join(weighted, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    return postings.join(weighted, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))

@@ -31,6 +31,12 @@ def affected_categories(changes: DataFrame) -> DataFrame:
     return changes.select(category_of("relative_path").alias("category")).distinct()
 
 
+def touched(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paths whose passages go: deleted and updated ones, paths to be read: added and updated ones)."""
+    of = lambda *kinds: changes.where(F.col("change_type").isin(*kinds)).select("relative_path").distinct()
+    return of("deleted", "updated"), of("added", "updated")
+
+
 def upsert(catalogue: DataFrame, incoming: DataFrame, key: str = "relative_path", keep: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
     """The catalogue with the incoming rows inserted or their values put over the old ones; columns of `keep` stay as stored."""
     columns = catalogue.columns
@@ -61,9 +67,8 @@ def first_of_content(df: DataFrame, hash_col: str = "content_hash", key: str = "
 
 def rebuild_chunks(old_chunks: DataFrame, changes: DataFrame, fresh_chunks: DataFrame) -> DataFrame:
     """Passages after a change: old ones of untouched files with their vectors, new ones of added and updated files."""
-    touched = changes.select("relative_path").distinct()
-    changed = changes.where("change_type in ('added', 'updated')").select("relative_path").distinct()
-    return old_chunks.join(touched, "relative_path", "left_anti").unionByName(fresh_chunks.join(changed, "relative_path", "left_semi"), allowMissingColumns=True)
+    removed, changed = touched(changes)
+    return old_chunks.join(removed, "relative_path", "left_anti").unionByName(fresh_chunks.join(changed, "relative_path", "left_semi"), allowMissingColumns=True)
 
 
 def shard_offsets(chunks: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feuillet.functions.text import tokenize
+from feuillet.functions.embedding import HashingModel
 
 
 def norm(v: Column | str) -> Column:
@@ -57,22 +56,34 @@ def cosines(vectors: DataFrame, queries: list[tuple[int, list[float]]], vector_c
     return rows.mapInArrow(run, f"qid long, {fields}, cosine double")
 
 
-def best_cosines(vectors: DataFrame, queries: list[tuple[int, list[float]]], vector_col: str, keep: list[str], k: int, by: str | None = None, block: int = 256) -> DataFrame:
+def best_cosines(vectors: DataFrame, queries: list[tuple[int, list[float]]], vector_col: str, keep: list[str], k: int, by: str | None = None, block: int = 256, lists: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """The rows of `cosines` that can be among the k best of a query (and of a value of the kept column `by`): each Arrow
-    batch is scored against one block of queries after the other and keeps its own k best, with all ties of the last."""
+    batch is scored against one block of queries after the other and keeps its own k best, with all ties of the last. With
+    `lists` (centres, and which of them each query wants) a vector is compared only with queries that want its list."""
     spark = vectors.sparkSession
     names = np.array([q for q, _ in queries], np.int64)
     matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
     matrix /= np.maximum(1e-300, np.linalg.norm(matrix, axis=1, keepdims=True))
-    own = spark.sparkContext.broadcast((names, matrix))
+    own = spark.sparkContext.broadcast((names, matrix, lists))
     rows = vectors.select(*keep, F.col(vector_col).alias("__v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = own.value
+        qids, q, parts = own.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            if parts is not None:
+                nearest = (v @ parts[0].T).argmax(axis=1)
+                for number in np.unique(nearest):
+                    at, who = np.nonzero(nearest == number)[0], np.nonzero(parts[1][:, number])[0]
+                    if len(who):
+                        cos = np.round((v[at] @ q[who].T) / np.maximum(1e-300, np.linalg.norm(v[at], axis=1, keepdims=True)), 9)
+                        least = np.partition(cos, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(len(who), -np.inf)
+                        row, column = np.nonzero(cos >= least)
+                        kept = batch.select(list(range(len(keep)))).take(pa.array(at[row]))
+                        yield pa.RecordBatch.from_arrays([pa.array(qids[who[column]]), *kept.columns, pa.array(cos[row, column])], names=["qid", *keep, "cosine"])
+                continue
             length = np.maximum(1e-300, np.linalg.norm(v, axis=1, keepdims=True))
             group = batch.column(keep.index(by)).dictionary_encode("encode").indices.to_numpy() if by else np.zeros(batch.num_rows, np.int64)
             members = [np.nonzero(group == g)[0] for g in np.unique(group)]
@@ -95,22 +106,39 @@ def top_k(scored: DataFrame, k: int, by: list[str], id_col: str = "chunk_id") ->
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_by_lists(vectors: DataFrame, queries: list[tuple[int, list[float]]], vector_col: str, k: int, id_col: str = "chunk_id", size: int = 1024, probes: int = 8) -> DataFrame:
+    """qid, `id_col`, cosine, rank: approximate top-k. Vectors fall into lists of near ones (k-means on at most 20,000 of them),
+    and each query is compared only with its `probes` nearest lists. Up to 64 vectors the comparison is exact."""
+    total = vectors.count()
+    if total <= 64:
+        return top_k(best_cosines(vectors, queries, vector_col, [id_col], k), k, ["qid"], id_col)
+    h = F.xxhash64(id_col)
+    share = min(1.0, 24_000 / total)
+    sample = (vectors.where(h <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))) if share < 1 else vectors).orderBy(h).limit(20_000).select(vector_col).collect()
+    x = np.array([r[0] for r in sample], np.float64)
+    x /= np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))
+    rng = np.random.default_rng(1)
+    centres = x[rng.choice(len(x), max(1, min(len(x), -(-total // size), 512)), replace=False)]
+    for _ in range(8):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(np.any(sums, axis=1, keepdims=True), sums, centres)
+        centres /= np.maximum(1e-300, np.linalg.norm(centres, axis=1, keepdims=True))
+    q = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+    wanted = np.zeros((len(queries), len(centres)), bool)
+    np.put_along_axis(wanted, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+    return top_k(best_cosines(vectors, queries, vector_col, [id_col], k, lists=(centres, wanted)), k, ["qid"], id_col)
+
+
 def hash_embedding(text: Column | str, dim: int = 64) -> Column:
     """A deterministic offline embedding: token counts in `dim` buckets (the first 32 bits of the token's MD5), at length one."""
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bucket: dict[str, int] = {}
+        model = HashingModel(dim)
         for batch in batches:
-            rows = np.zeros((len(batch), dim), np.float64)
-            for row, tokens in zip(rows, batch.to_pylist()):
-                for t in tokens or ():
-                    at = bucket.get(t)
-                    if at is None:
-                        if len(bucket) > 200_000:
-                            bucket.clear()
-                        at = bucket[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
-                    row[at] += 1
+            rows = model([t or "" for t in batch.to_pylist()])
             rows /= np.maximum(1e-300, np.linalg.norm(rows, axis=1, keepdims=True))
             yield pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), dim).cast(pa.list_(pa.float64()))
 
-    return F.arrow_udf(count, "array<double>")(tokenize(text))
+    return F.arrow_udf(count, "array<double>")(F.col(text) if isinstance(text, str) else text)

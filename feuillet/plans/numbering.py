@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feuillet.plans.shared import write_shared
@@ -15,6 +15,7 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_no") -> DataFr
     placed = placed.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
     placed = write_shared(placed, "numbered")
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
+    # One row a partition, so the running sum is over a few thousand rows at most.
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + place + 1).drop("__at", "__part", "__before")

@@ -1,38 +1,29 @@
 """Intermediate tables in the folder that all executors share.
 
 A table written here replaces `checkpoint()` where a result is read more than once: it cuts the lineage, survives the
-loss of executors and stays columnar. The folder is `spark.checkpoint.dir`; only where that is unset (tests, a laptop)
-a temporary one is made.
+loss of executors and stays columnar. The folder is `spark.checkpoint.dir`. Only a local session without it (tests, a
+laptop) gets a temporary one. Each application writes below a folder of its own, which goes when it ends.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
-
-
-def _drop_own() -> None:
-    for path in _own:
-        shutil.rmtree(path, ignore_errors=True)
-
-
-atexit.register(_drop_own)
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, as a URI or path."""
+    """The folder of this application, as a URI or path. Raises RuntimeError on a cluster without a shared folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="feuillet-"))
-    return _own[0]
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.gettempdir()
+    folder = f"{configured.rstrip('/')}/feuillet-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -45,3 +36,12 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_shared(df: DataFrame) -> None:
+    """Remove a table of `write_shared` before the application ends, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if "/feuillet-" in folder:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` as it is if its scan has a task for every core, else its rows dealt out evenly. Only inputs smaller than a
-    few splits are ever moved; a large table never is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """`df` with its rows dealt out evenly if it is smaller than one least split a core, else as it is.
+
+    A scan cuts files no finer than `spark.sql.files.openCostInBytes` (4 MB), so a smaller table leaves cores idle; only
+    such a table is shuffled. The plan is looked at, not run.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes", "4194304"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < least * cores else df

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from feuillet.functions import text as T
 from feuillet.functions.chunking import explode_passages
-from feuillet.operators import catalogue, fusion, lexical, metrics, sync, vector
+from feuillet.functions.embedding import with_embedding
+from feuillet.operators import build, catalogue, fusion, lexical, metrics, search, sync, vector
 from feuillet.plans.numbering import number_rows
-from feuillet.plans.shared import write_shared
+from feuillet.plans.shared import new_table_path, write_shared
 from feuillet.plans.spread import spread
-from feuillet.sources.store import export_rows
+from feuillet.sources import pages
+from feuillet.sources.store import IndexStore, export_rows
 from feuillet.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,9 +270,23 @@ def usable_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vector.usable_vectors(table(spark, d, "shard"), 384).agg(F.count("*").alias("rows"), F.count_distinct("chunk_id").alias("chunks"))
 
 
-@query()
+TOKENS = lambda x: f"list_filter(regexp_extract_all(lower({x}), '{T.TOKEN}'), lambda x: x NOT IN ({STOP}))"
+BUCKETS = lambda x: f"list_transform({TOKENS(x)}, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 64)"
+
+
+@query(f"""WITH t AS (SELECT id, {BUCKETS('extracted_text')} AS b FROM ged_documents WHERE length(extracted_text) > 0),
+    c AS (SELECT id, bucket, count(*) AS n FROM (SELECT id, unnest(b) AS bucket FROM t) GROUP BY 1, 2)
+    SELECT id, CAST(bucket AS INT) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS value FROM c""")
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return ged(spark, d).where(F.length("extracted_text") > 0).select("id", vector.hash_embedding("extracted_text").alias("embedding"))
+    rows = ged(spark, d).where(F.length("extracted_text") > 0).select("id", F.posexplode(vector.hash_embedding("extracted_text")).alias("bucket", "value"))
+    return rows.where("value <> 0").select("id", "bucket", F.round("value", 6).alias("value"))
+
+
+@query()
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate top-k by lists; the tests measure its recall."""
+    rows, asked = _asked_50(spark, d)
+    return vector.nearest_by_lists(rows, asked, "embedding", 10).select("qid", "chunk_id", "cosine", "rank")
 
 
 # --- hybrid search ------------------------------------------------------------------------------------------------
@@ -310,8 +326,16 @@ def search_index(spark: SparkSession, d: str) -> fusion.SearchIndex:
     shard = vector.usable_vectors(table(spark, d, "shard"), 384).select("relative_path", "chunk_no", F.col("chunk_vectors").alias("vector"))
     vectors = chunks.select("chunk_id", "category", "relative_path", "chunk_no").join(shard, ["relative_path", "chunk_no"]).select("chunk_id", "category", "vector")
     built = lexical.build_index(chunks)
-    postings = write_shared(built.postings.sort("term"), "postings")
-    return fusion.SearchIndex(chunks, vectors, lexical.LexicalIndex(postings, built.term_stats, built.corpus_stats))
+    path = new_table_path(spark, "postings")
+    lexical.bucketed(built.postings).write.partitionBy("bucket").parquet(path)
+    return fusion.SearchIndex(chunks, vectors, lexical.LexicalIndex(spark.read.parquet(path), built.term_stats, built.corpus_stats))
+
+
+def text_index(spark: SparkSession, d: str) -> fusion.SearchIndex:
+    """The same index with vectors of the hashing model instead of the stored ones, for searches by text."""
+    index = search_index(spark, d)
+    vectors = write_shared(with_embedding(index.chunks, "text").select("chunk_id", "category", "vector"), "vectors")
+    return fusion.SearchIndex(index.chunks, vectors, index.lexical)
 
 
 def query_vectors(spark: SparkSession, d: str) -> list[tuple[int, list[float]]]:
@@ -351,7 +375,14 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return _searched(spark, d).select(F.col("qid").cast("int").alias("qid"), "rank", "relative_path", "file_name", "file_type", "category", F.round("score", 6).alias("score"), F.round("aggregated", 6).alias("aggregated"), F.round("relevance", 4).alias("relevance"))
 
 
-@query()
+PREVIEWED = f"""{HYBRID},
+    shown AS (SELECT p.*, c.text, list_min(list_filter(list_transform(t.terms, lambda y: instr(lower(c.text), y)), lambda y: y > 0)) AS spot FROM pass p JOIN chunks c USING (chunk_id) JOIN term t ON t.qid = p.qid WHERE rank <= top_k),
+    clip AS (SELECT *, greatest(0, spot - 1 - 90) AS a, least(length(text), greatest(0, spot - 1 - 90) + 240) AS b FROM shown)
+    SELECT file_name, cat AS category, file_type, round(score, 4) AS score, round(aggregated, 6) AS aggregated, round(CASE WHEN dex THEN greatest(rv, 90) ELSE rv END, 1) AS relevance_pct,
+        CASE WHEN spot IS NULL THEN substr(text, 1, 240) ELSE CASE WHEN a > 0 THEN '…' ELSE '' END || {_strip('substr(text, a + 1, b - a)')} || CASE WHEN b < length(text) THEN '…' ELSE '' END END AS text_preview FROM clip"""
+
+
+@query(PREVIEWED)
 def search_export(spark: SparkSession, d: str) -> DataFrame:
     return export_rows(_searched(spark, d))
 
@@ -361,13 +392,38 @@ def relative_scores(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.relative_scores(_searched(spark, d)).select(F.col("qid").cast("int").alias("qid"), "rank", F.round("relative", 1).alias("relative"))
 
 
-@query()
+ASKED_TEXTS = [(i, q, 1, None, None) for i, q in fusion.suggestion_queries(["relevé", "caution", "trimestriel"])]
+_VECTOR = lambda x: f"list_transform(range(64), lambda y: CAST(len(list_filter({BUCKETS(x)}, lambda z: z = y)) AS DOUBLE))"
+
+
+def by_text(sql: str, asked: list[tuple]) -> str:
+    """The SQL of a hybrid search with other queries, and vectors of the hashing model on both sides."""
+    values = "q(qid, query, top_k, category, file_type) AS (VALUES " + ", ".join(f"({i}, '{q}', {k}, NULL::VARCHAR, NULL::VARCHAR)" for i, q, k, _, _ in asked) + ")"
+    parts = {
+        _Q: values,
+        sql[sql.index("vec AS (SELECT c.chunk_id"): sql.index("ask AS (")]: f"vec AS (SELECT chunk_id, category, {_VECTOR('text')} AS v FROM chunks),\n    ",
+        "ask AS (SELECT qid, v FROM qv JOIN sh USING (vc))": f"ask AS (SELECT qid, {_VECTOR('query')} AS v FROM q)",
+        "/ sqrt(list_dot_product(a.v, a.v) * list_dot_product(e.v, e.v)), 9)": "/ greatest(1e-300, sqrt(list_dot_product(a.v, a.v) * list_dot_product(e.v, e.v))), 9)",
+    }
+    for old, new in parts.items():
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(by_text(HYBRID, ASKED_TEXTS) + " SELECT q.query AS term, file_name, relative_path, round(score, 6) AS score FROM pass JOIN q USING (qid) WHERE rank = 1 ORDER BY pass.score DESC, qid LIMIT 3")
 def suggestions(spark: SparkSession, d: str) -> DataFrame:
-    index = search_index(spark, d)
-    asked = fusion.suggestion_queries(["relevé", "caution", "trimestriel"])
-    q = spark.createDataFrame([(i, s, 1, None, None) for i, s in asked], "qid long, query string, top_k int, category string, file_type string")
-    v = query_vectors(spark, d)
-    return fusion.suggestions(fusion.hybrid_search(index, q, [(i, v[i % len(v)][1]) for i, _ in asked] if v else []), q)
+    return search.suggest(spark, text_index(spark, d), "relevé caution trimestriel").withColumn("score", F.round("score", 6))
+
+
+TEXTS = [(i, q, k, None, None) for i, q, k, _, _, _ in BATCH if "'" not in q]
+
+
+@query(by_text(HYBRID, TEXTS) + " SELECT qid, CAST(rank AS INT) AS rank, relative_path, round(score, 6) AS score, round(aggregated, 6) AS aggregated FROM pass WHERE rank <= top_k")
+def text_search(spark: SparkSession, d: str) -> DataFrame:
+    """The batch searched by its texts alone."""
+    found = search.search_texts(spark, text_index(spark, d), TEXTS)
+    return found.select(F.col("qid").cast("int").alias("qid"), "rank", "relative_path", F.round("score", 6).alias("score"), F.round("aggregated", 6).alias("aggregated"))
 
 
 EXPECTED = "e(qid, expected_cat, expected_name) AS (VALUES (1, 'banque', 'releve'), (2, 'assur', 'police'), (3, 'banque', 'mandat'), (4, 'paie', 'note'), (5, 'scans', 'lot'), (6, 'scans', 'registre'))"
@@ -386,6 +442,27 @@ def graded_queries(spark: SparkSession, d: str) -> DataFrame:
     return metrics.grade(_searched(spark, d), expected_of(spark)).select(F.col("qid").cast("int").alias("qid"), "grade")
 
 
+@query(HYBRID + f""", {EXPECTED} SELECT e.qid, CASE WHEN coalesce(contains(lower(p.cat), e.expected_cat) OR contains(lower(p.file_name), e.expected_cat), FALSE) THEN 'PASS' WHEN p.rank IS NOT NULL THEN 'PARTIAL' ELSE 'FAIL' END AS grade
+    FROM e LEFT JOIN (SELECT * FROM pass WHERE rank = 1) p ON p.qid = e.qid""")
+def graded_by_category(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.grade_category(_searched(spark, d), expected_of(spark)).select(F.col("qid").cast("int").alias("qid"), "grade")
+
+
+LATENCIES = ", ".join(f"({b[0]}, {20.0 + 7 * (b[0] % 4)}::DOUBLE)" for b in BATCH)
+
+
+@query(HYBRID + f""", lat(qid, ms) AS (VALUES {LATENCIES}), got AS (SELECT qid, count(*) AS n, max(aggregated) AS best FROM pass WHERE rank <= top_k GROUP BY 1),
+    v AS (SELECT list_sort(list(ms)) AS v, avg(ms) AS a, sum(ms) AS t, count(*) AS n, median(ms) AS m FROM lat)
+    SELECT 0 AS line_no, 'avg_latency_ms' AS name, printf('%.2f', a) AS text FROM v UNION ALL SELECT 1, 'median_latency_ms', printf('%.2f', m) FROM v UNION ALL SELECT 2, 'p95_latency_ms', printf('%.2f', v[CAST(least(n - 1, floor(n * 0.95)) AS INT) + 1]) FROM v
+    UNION ALL SELECT 3, 'p99_latency_ms', printf('%.2f', v[CAST(least(n - 1, floor(n * 0.99)) AS INT) + 1]) FROM v UNION ALL SELECT 4, 'total_latency_ms', printf('%.2f', t) FROM v
+    UNION ALL SELECT CAST(q.qid + 5 AS INT), q.query, coalesce(n, 0) || ',' || printf('%.2f', ms) || ',' || printf('%.4f', coalesce(best, 0)) FROM q JOIN lat USING (qid) LEFT JOIN got USING (qid)""")
+def benchmark_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a benchmark file on the batch, with latencies that are given, so that they can be compared."""
+    got = _searched(spark, d).groupBy("qid").agg(F.count("*").alias("results_count"), F.max("aggregated").alias("best_score"))
+    times = spark.createDataFrame([(b[0], 20.0 + 7 * (b[0] % 4)) for b in BATCH], "qid long, latency_ms double")
+    return metrics.benchmark_report(queries_of(spark).select("qid", "query").join(times, "qid").join(got, "qid", "left").withColumn("results_count", F.coalesce("results_count", F.lit(0))))
+
+
 @query(GRADED + " SELECT CASE WHEN qid <= 3 THEN 'a' ELSE 'b' END AS grp, count(*) AS n, round(100 * avg(CAST(grade = 'PASS' AS INT)), 4) AS pass_pct FROM graded GROUP BY 1")
 def pass_rate_by_group(spark: SparkSession, d: str) -> DataFrame:
     graded = metrics.grade(_searched(spark, d), expected_of(spark)).withColumn("grp", F.when(F.col("qid") <= 3, "a").otherwise("b"))
@@ -470,7 +547,7 @@ def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
     return sync.ordered_distinct(table(spark, d, "shard"), "relative_path", "chunk_id")
 
 
-@query()
+@query(CHUNKS + f", {NEW} SELECT relative_path, chunk_no FROM chunks WHERE relative_path IN (SELECT relative_path FROM new)")
 def incremental_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """Passages after the changes; the tests hold it against a full rebuild."""
     old, new = snapshots(spark, d)
@@ -481,6 +558,96 @@ def incremental_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return sync.rebuild_chunks(before, changes, fresh).select("relative_path", "chunk_no")
 
 
+def _files(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """A snapshot as a scan of files whose bytes are their texts."""
+    own = texts.select("relative_path", "file_name", "file_type", F.encode(F.coalesce("extracted_text", F.lit("")), "utf-8").alias("content"))
+    return rows.select("relative_path", "modified_at", "content_hash").join(own, "relative_path")
+
+
+def _read(files: DataFrame) -> DataFrame:
+    return files.withColumn("text", F.decode("content", "utf-8"))
+
+
+@query(CHUNKS + f", {NEW} SELECT chunk_no, relative_path, md5(text) AS h FROM chunks WHERE relative_path IN (SELECT relative_path FROM new)")
+def synchronised_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index built from the old files, then synchronised with the new ones: its passages are those of the new files."""
+    old, new = snapshots(spark, d)
+    store = IndexStore(spark, new_table_path(spark, "index"))
+    none = spark.createDataFrame([], "relative_path string, file_name string, file_type string, modified_at string, content_hash string")
+    first = build.run_sync(store, _files(old, ged(spark, d)), _read, none)
+    second = build.run_sync(store, _files(new, ged(spark, d)), _read, first.catalogue)
+    if (first.mode, second.mode, second.error) != ("complete", "incremental", None):
+        raise RuntimeError(f"{first.mode}, {second.mode}: {second.error}")
+    return store.load("chunks").select("chunk_no", "relative_path", F.md5("text").alias("h"))
+
+
+# --- pages and images ---------------------------------------------------------------------------------------------
+
+# A text stands for a document: its blocks are the pages, the first line of each is an image of 20 pixels a letter, whose
+# bytes are what it says.
+PAGES = r"""pg AS (SELECT path, CAST(i - 1 AS INT) AS page_no, b[i] AS native FROM (SELECT id AS path, string_split_regex(extracted_text, '\n\s*\n') AS b, unnest(range(1, len(string_split_regex(extracted_text, '\n\s*\n')) + 1)) AS i FROM ged_documents WHERE length(extracted_text) > 0)),
+    im AS (SELECT path, page_no, 20 * length(split_part(native, chr(10), 1)) * 20 AS area, split_part(native, chr(10), 1) AS says FROM pg)"""
+
+
+def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = ged(spark, d).where(F.length("extracted_text") > 0)
+    own = texts.select(F.col("id").alias("path"), F.posexplode(F.split("extracted_text", r"\n\s*\n")).alias("page_no", "native"))
+    says = F.substring_index("native", "\n", 1)
+    images = own.select("path", "page_no", F.lit(0).alias("position"), (20 * F.length(says)).alias("width"), F.lit(20).alias("height"), F.encode(says, "utf-8").alias("image")).withColumn("fingerprint", F.md5("image"))
+    return own, images
+
+
+def _says(image: bytes) -> str:
+    return image.decode()
+
+
+_WHOLE = NORMAL.replace("extracted_text", "string_agg(native, chr(10) || chr(10) ORDER BY page_no)")
+
+
+@query(f"WITH {PAGES} SELECT path, md5({_WHOLE}) AS h FROM pg WHERE length(trim(native)) > 0 GROUP BY 1")
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Native texts of the pages in order, as one text."""
+    return pages.native_text(_pages(spark, d)[0]).select("path", F.md5("text").alias("h"))
+
+
+@query(f"WITH {PAGES} SELECT path, bool_or(area > 40000 AND page_no < 5) AS has_raster, count(*) AS n_images FROM im GROUP BY 1")
+def raster_images(spark: SparkSession, d: str) -> DataFrame:
+    return pages.raster_flags(_pages(spark, d)[1])
+
+
+@query(f"WITH {PAGES} SELECT path, md5(says) AS fingerprint, min(page_no) AS page_no FROM im WHERE area >= 1000 GROUP BY 1, 2")
+def unique_page_images(spark: SparkSession, d: str) -> DataFrame:
+    return pages.unique_images(_pages(spark, d)[1]).select("path", "fingerprint", "page_no")
+
+
+@query(f"WITH {PAGES} SELECT DISTINCT md5(says) AS fingerprint, says AS text FROM im WHERE area >= 1000")
+def recognised_images(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct image recognised once, half of them known from a stored cache."""
+    images = pages.unique_images(_pages(spark, d)[1])
+    known = images.where("fingerprint < '8'").select("fingerprint", F.decode("image", "utf-8").alias("text")).distinct()
+    return pages.recognise_once(images, _says, known)
+
+
+@query(f"""WITH {PAGES}, nat AS (SELECT path, {_WHOLE} AS native FROM pg WHERE length(trim(native)) > 0 GROUP BY 1), fl AS (SELECT path, bool_or(area > 40000 AND page_no < 5) AS raster FROM im GROUP BY 1)
+    SELECT p.path, CASE WHEN coalesce(native, '') = '' OR length(regexp_replace(native, '[^\p{{L}}]', '', 'g')) / greatest(1, length(native)) < 0.2 THEN 'C' WHEN raster THEN 'B' ELSE 'A' END AS kind FROM (SELECT DISTINCT path FROM pg) p LEFT JOIN nat USING (path) LEFT JOIN fl USING (path)""")
+def document_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents keep their text, add that of images, or are recognised as a whole."""
+    own, images = _pages(spark, d)
+    return pages.documents_text(own, images, _says).select("path", F.col("case").alias("kind"))
+
+
+_FRAMES = "SELECT path, count(*) OVER (PARTITION BY path) AS n, page_no AS i, substr(native, 1, 40) AS says FROM pg"
+
+
+@query(f"WITH {PAGES}, fr AS ({_FRAMES}), pick AS (SELECT path, says, min(i) AS i FROM fr WHERE length(says) > 0 AND (n <= 3 OR i IN (0, n // 2, n - 1)) GROUP BY 1, 2) SELECT path, md5({NORMAL.replace('extracted_text', 'string_agg(says, chr(10) || chr(10) ORDER BY i)')}) AS h FROM pick WHERE length(trim(says)) > 0 GROUP BY 1")
+def animation_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as frames of an animation: the first, middle and last are read, equal texts once."""
+    own = _pages(spark, d)[0]
+    sizes = own.groupBy("path").agg(F.count("*").alias("n_frames"))
+    frames = own.join(sizes, "path").select("path", F.col("page_no").alias("frame_no"), "n_frames", F.substring("native", 1, 40).alias("text"))
+    return pages.animation_text(frames).select("path", F.md5("text").alias("h"))
+
+
 # --- catalogue, accounts, history ---------------------------------------------------------------------------------
 
 
@@ -583,9 +750,11 @@ def benchmark_stats(spark: SparkSession, d: str) -> DataFrame:
 _TS = "TRY_CAST(replace(searched_at, 'Z', '') AS TIMESTAMP)"
 
 
-@query(f"""WITH h AS (SELECT DISTINCT history_id, lower(trim(query)) || '|' || top_k || '|' || coalesce(category, '') || '|' || coalesce(file_type, '') AS key, {_TS} AS ts FROM search_history),
-    g AS (SELECT epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY key ORDER BY ts, history_id)) < 300000000 AS hit FROM h WHERE ts IS NOT NULL)
-    SELECT count(*) FILTER (hit) AS hits, count(*) - count(*) FILTER (hit) AS misses, round(count(*) FILTER (hit) / count(*) * 100, 1) AS hit_rate_pct FROM g""")
+@query(f"""WITH RECURSIVE h AS (SELECT DISTINCT history_id, lower(trim(query)) || '|' || top_k || '|' || coalesce(category, '') || '|' || coalesce(file_type, '') AS key, epoch_us({_TS}) AS t FROM search_history),
+    k AS (SELECT DISTINCT key, t FROM h WHERE t IS NOT NULL),
+    put AS (SELECT key, min(t) AS t FROM k GROUP BY key UNION ALL SELECT p.key, min(k.t) FROM put p JOIN k ON k.key IS NOT DISTINCT FROM p.key AND k.t >= p.t + 300000000 GROUP BY p.key, p.t),
+    c AS (SELECT (SELECT count(*) FROM h WHERE t IS NOT NULL) AS total, (SELECT count(*) FROM put) AS misses, (SELECT count(*) FROM h WHERE t IS NULL) AS untimed)
+    SELECT total - misses AS hits, misses, round((total - misses) / total * 100, 1) AS hit_rate_pct, untimed FROM c""")
 def cache_stats(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "search_history")
     key = F.concat_ws("|", F.lower(F.trim("query")), F.col("top_k").cast("string"), F.coalesce("category", F.lit("")), F.coalesce("file_type", F.lit("")))
@@ -596,3 +765,18 @@ def cache_stats(spark: SparkSession, d: str) -> DataFrame:
 def rate_limit_windows(spark: SparkSession, d: str) -> DataFrame:
     found = metrics.over_rate(table(spark, d, "events"), 2, "1 hour")
     return found.select("user_id", F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_start_us"), "calls")
+
+
+def _syncs(events: DataFrame) -> DataFrame:
+    """Events as a log of synchronisations."""
+    return events.select(F.col("ts").alias("at"), F.col("event_type").alias("mode"), F.col("user_id").alias("documents_indexed"), F.col("value").alias("duration_ms"), F.when(F.col("value") > 90, "slow").alias("error"))
+
+
+@query(f"""WITH h AS (SELECT count(*) AS total, count(*) FILTER (results_count IS NULL) AS errors, count(*) FILTER (results_count = 0) AS no_result FROM (SELECT DISTINCT history_id, results_count FROM search_history)),
+    s AS (SELECT list_sort(list(value)) AS v, avg(value) AS a, count(*) AS n FROM {LAST}),
+    y AS (SELECT count(*) AS sync_total, count(*) FILTER (value > 90) AS sync_errors, round(avg(value), 2) AS sync_avg_ms, max(struct_pack(a := ts, b := event_type, c := user_id)) AS l, max(CASE WHEN value <= 90 THEN struct_pack(a := ts, c := user_id) END) AS g FROM events)
+    SELECT total, errors, no_result, round(coalesce(errors / nullif(total, 0), 0), 6) AS error_rate, round(a, 2) AS avg_ms, round(v[CAST(round_even(0.95 * (n - 1), 0) AS INT) + 1], 2) AS p95_ms, round(v[CAST(round_even(0.99 * (n - 1), 0) AS INT) + 1], 2) AS p99_ms, n AS samples,
+        sync_total, sync_errors, sync_avg_ms, l.b AS last_mode, epoch_us(l.a) AS last_at_us, coalesce(g.c, 0) AS documents_indexed FROM h, s, y""")
+def metrics_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    return metrics.snapshot(table(spark, d, "search_history"), events, _syncs(events)).withColumn("last_at_us", F.unix_micros(F.col("last_at").cast("timestamp"))).drop("last_at")

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feuillet.functions.text import file_suffix, is_supported, looks_garbled, merge_text_layers, normalize_whitespace
+from feuillet.functions.text import file_suffix, is_supported, normalize_whitespace
+from feuillet.sources.pages import route
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -130,12 +131,4 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None
     return files.drop("content").join(texts.withColumn("text", normalize_whitespace("text")), ["content_hash", "file_type"], "left")
 
 
-def route_pdf(pages: DataFrame) -> DataFrame:
-    """path, case, text of PDFs given native text, has_raster, image_text and page_text (recognised ones may be null).
-
-    A: text and no raster image, the text; B: text and raster images, the text and what the images add; C: no or garbled
-    text, the recognised pages, else the recognised images."""
-    garbled = F.coalesce(looks_garbled("native"), F.lit(False)) | (F.length(F.coalesce("native", F.lit(""))) == 0)
-    case = F.when(garbled, "C").when(F.coalesce("has_raster", F.lit(True)), "B").otherwise("A")
-    text = F.when(case == "A", F.col("native")).when(case == "B", merge_text_layers("native", "image_text")).otherwise(F.coalesce(F.nullif(F.col("page_text"), F.lit("")), F.col("image_text"), F.lit("")))
-    return pages.select("path", case.alias("case"), text.alias("text"))
+route_pdf = route

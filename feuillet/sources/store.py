@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class IndexStore:
@@ -26,17 +27,26 @@ class IndexStore:
         return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/current.json").collect()))
 
     def publish(self, chunks: DataFrame, tables: dict[str, DataFrame], model_name: str) -> str:
-        """Write the passages by category and the other tables, then move the pointer."""
+        """Write the passages by category and the other tables (by bucket where they have one), then move the pointer."""
         version = uuid.uuid4().hex
         chunks.write.partitionBy("category").parquet(f"{self.folder}/{version}/chunks")
         for name, df in tables.items():
-            df.write.parquet(f"{self.folder}/{version}/{name}")
+            writer = df.write.partitionBy("bucket") if "bucket" in df.columns else df.write
+            writer.parquet(f"{self.folder}/{version}/{name}")
         categories = [r[0] for r in chunks.select("category").distinct().orderBy("category").collect()]
-        self._write("current.json.new", json.dumps({"version": version, "model_name": model_name, "categories": categories}))
-        self._hadoop.delete(self._path("current.json"), False)
-        self._hadoop.rename(self._path("current.json.new"), self._path("current.json"))
+        self._point({"version": version, "model_name": model_name, "categories": categories})
         return version
 
+    def _point(self, manifest: dict) -> None:
+        """One rename over the old pointer, so a reader always finds the old or the new one."""
+        self._write("current.json.new", json.dumps(manifest))
+        jvm = self.spark._jvm
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._hadoop.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._path("current.json.new"), self._path("current.json"), options)
+
     def _write(self, name: str, text: str) -> None:
         out = self._hadoop.create(self._path(name), True)
         out.write(bytearray(text.encode()))
@@ -47,16 +57,39 @@ class IndexStore:
         manifest = self.manifest()
         if manifest is None or not self._hadoop.exists(self._path(manifest["version"], name)):
             raise FileNotFoundError(f"{self.folder}: no published {name}")
-        return self.spark.read.parquet(f"{self.folder}/{manifest['version']}/{name}")
+        path = f"{self.folder}/{manifest['version']}/{name}"
+        schema = self.spark.read.parquet(path).schema
+        if "category" in schema.names:  # a folder's name, which must not become a number or a date
+            schema = StructType([StructField("category", StringType()) if f.name == "category" else f for f in schema])
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _next(self, chunks: DataFrame) -> None:
+        """A new version with these passages and the other tables as they are; the published one stays until the pointer moves."""
+        old = self.manifest()
+        version = uuid.uuid4().hex
+        chunks.write.partitionBy("category").parquet(f"{self.folder}/{version}/chunks")
+        for status in self._hadoop.listStatus(self._path(old["version"])):
+            name = status.getPath().getName()
+            if name != "chunks":
+                own = self.spark.read.parquet(f"{self.folder}/{old['version']}/{name}")
+                (own.write.partitionBy("bucket") if "bucket" in own.columns else own.write).parquet(f"{self.folder}/{version}/{name}")
+        categories = [r[0] for r in self.spark.read.parquet(f"{self.folder}/{version}/chunks").select("category").distinct().orderBy("category").collect()]
+        self._point({**old, "version": version, "categories": categories})
 
     def replace_categories(self, chunks: DataFrame) -> None:
-        """Overwrite only the category folders that `chunks` has rows for."""
-        manifest = self.manifest()
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("category").parquet(f"{self.folder}/{manifest['version']}/chunks")
+        """A new version in which the categories of `chunks` have its passages, and the others those they had."""
+        own = chunks.select("category").distinct()
+        self._next(self.load("chunks").join(own, "category", "left_anti").unionByName(chunks))
 
     def drop_category(self, category: str) -> None:
-        manifest = self.manifest()
-        self._hadoop.delete(self._path(manifest["version"], "chunks", f"category={category}"), True)
+        self._next(self.load("chunks").where(F.col("category") != category))
+
+    def drop_old_versions(self) -> None:
+        """Remove every version but the published one, when no reader uses them any more."""
+        current = self.manifest()["version"]
+        for status in self._hadoop.listStatus(self._path("")):
+            if status.isDirectory() and status.getPath().getName() != current:
+                self._hadoop.delete(status.getPath(), True)
 
 
 def export_rows(ranked: DataFrame) -> DataFrame:
