@@ -52,3 +52,34 @@ def test_differing_repeats_count_once(spark):
 def test_storage_is_lossless():
     for row in (np.array([0.1, 0.5], np.float32), np.array([0.25, 0.5], np.float32)):
         assert (ann.unpack([ann.pack(row)], 2)[0] == row).all()
+
+
+def test_many_coarse_lists_and_a_hot_vector(spark, monkeypatch):
+    """A third of all rows holds one vector; rows are sent twice; several coarse lists, several steps for the hot list."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 40), monkeypatch.setattr(ann, "FAN", 6), monkeypatch.setattr(ann, "PART_IDS", 300)
+    ids, x = rows_of()
+    hot = [(100_000 + i, x[3].tolist()) for i in range(700)]
+    data = [(i, v.tolist()) for i, v in zip(ids, x)] + hot
+    df = spark.createDataFrame(data + data[::5], "chunk_id long, chunk_vectors array<float>").repartition(6)
+    got = ann.nearest_vectors(df, dim=32).collect()
+    near = {}
+    for r in got:
+        near.setdefault(r.chunk_id, []).append(r.neighbour)
+    assert set(near) == {i for i, _ in data} and all(len(v) == 5 == len(set(v)) and i not in v for i, v in near.items())
+    smallest = sorted([ids[3], *(i for i, _ in hot)])
+    assert all(set(near[i]) == set([j for j in smallest if j != i][:5]) for i in smallest)
+    want = brute([i for i, _ in data[:1500]], x, 5)
+    plain = {(i, j) for i, j in want if i != ids[3] and ids[3] not in {b for a, b in want if a == i}}
+    assert len(plain & {(i, j) for i, v in near.items() for j in v}) >= 0.95 * len(plain)
+
+
+def test_every_candidate_is_tested_but_the_first():
+    """A query without a neighbour is compared in full with FIRST candidates only; what the tests leave is right."""
+    rng = np.random.default_rng(1)
+    x = ann.unit(rng.standard_normal((900, 384)).astype(np.float32))
+    turned = x @ ann.rotation(384)
+    norms = np.stack([(turned[:, :b] ** 2).sum(axis=1) for b in ann.BLOCKS])
+    q, row, s = ann.scan(turned[:50], norms[:, :50], turned, norms, np.full(50, -1.0, np.float32), 6)
+    exact = turned[:50] @ turned.T
+    best = {(i, j) for i in range(50) for j in np.argsort(-exact[i])[:6].tolist()}
+    assert np.allclose(exact[q, row], s, atol=1e-5) and len(best & set(zip(q.tolist(), row.tolist()))) >= 0.97 * len(best)
