@@ -1,4 +1,5 @@
-"""One thread a task for matrix products: Spark runs a task on every core already, and waiting threads cost processor time."""
+"""What a Python worker takes of its machine: one thread a task for matrix products, as Spark runs a task on every core already
+and waiting threads cost processor time; and no memory that it has freed."""
 
 from __future__ import annotations
 
@@ -24,3 +25,14 @@ def one_thread() -> None:
             if hasattr(library, name):
                 getattr(library, name)(1)
                 break
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can; a worker lives on between tasks."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
