@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feuillet.plans.shared import new_table_path, write_shared
+from feuillet.plans.threads import one_thread, release_memory
 
 LIST_SIZE = 512  # vectors a fine list is meant to hold
 FAN = 64  # fine lists a coarse list is meant to hold
 MOST_COARSE = 2000
 PER_LIST = 40  # sampled vectors a list, of either kind
 SAMPLE_ROWS = MOST_COARSE * PER_LIST  # bound of the sample of the coarse lists, and of the sample of one coarse list
-PART_IDS = 14000  # vectors that one step of a task searches for
+PART_IDS = 16_384  # vectors that one step of a task searches for
 FILE_ROWS = 98_304  # rows a file of a coarse list is meant to hold
 BLOCKS = (64, 160)  # columns after which candidates are tested
 FIRST = 64  # candidates that a query without any neighbour yet is compared with in full
@@ -104,7 +105,7 @@ def rotation(dim: int) -> np.ndarray:
 class Lists:
     """Lists read from the shared folder, row group by row group; the last used groups are kept."""
 
-    def __init__(self, uri: str, dim: int, k: int, most_mb: int = 160) -> None:
+    def __init__(self, uri: str, dim: int, k: int, most_mb: int = 64) -> None:
         from pyarrow import fs
 
         if "://" in uri or uri.startswith("file:"):
@@ -298,6 +299,7 @@ def search_part(lists: Lists, centres: Centres, coarse: int, low: int, high: int
     union = sorted({coarse, *np.unique(np.argpartition(-near, width - 1, axis=1)[:, :width]).tolist()})
     names = [(c, f) for c in union for f in range(len(centres.of(c)))]
     near = plain @ np.concatenate([centres.of(c) for c in union]).T
+    del plain
     width = min(probes, near.shape[1])
     probing = np.zeros(near.shape, bool)
     np.put_along_axis(probing, np.argpartition(-near, width - 1, axis=1)[:, :width], True, axis=1)
@@ -309,8 +311,8 @@ def search_part(lists: Lists, centres: Centres, coarse: int, low: int, high: int
     best = np.full((len(fine), k), -1.0, np.float32)
     alone = np.array([m[0] if len(m) == 1 else -1 for m in members])
     copied = np.array([len(m) > 1 for m in members])
-    mine = stored.astype(np.float64)
-    mine /= np.linalg.norm(mine, axis=1, keepdims=True)
+    length = np.concatenate([np.linalg.norm(x.astype(np.float64), axis=1) for x in np.array_split(stored, len(stored) // 2048 + 1)])
+    left = lambda i: stored[i].astype(np.float64) / length[i, None]
     pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def settle(q: np.ndarray, x: np.ndarray, s: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
@@ -329,10 +331,17 @@ def search_part(lists: Lists, centres: Centres, coarse: int, low: int, high: int
         best[who] = np.sort(np.concatenate([best[who], fresh], axis=1), axis=1)[:, -k:]
         keep = s >= best[q, 0] - 2e-6
         q, x = q[keep], x[keep]
-        for at in range(0, len(q), 20_000):
-            i, j = q[at : at + 20_000], x[at : at + 20_000]
+        for at in range(0, len(q), 8192):
+            i, j = q[at : at + 8192], x[at : at + 8192]
             right = rows[j].astype(np.float64)
-            pool.append((i, np.einsum("ij,ij->i", mine[i], right) / np.linalg.norm(right, axis=1), ids[j]))
+            cosine = np.einsum("ij,ij->i", left(i), right) / np.linalg.norm(right, axis=1)
+            filled = ids[j] != np.iinfo(np.int64).max
+            many = filled.sum(axis=1)
+            pool.append((np.repeat(i, many), np.repeat(cosine, many), ids[j][filled]))
+        if sum(len(c[0]) for c in pool[1:]) > 500_000:  # the k-th bests have risen since
+            i, cosine, own = (np.concatenate(c) for c in zip(*pool))
+            keep = cosine >= best[i, 0].astype(np.float64) - 4e-6
+            pool[:] = [(i[keep], cosine[keep], own[keep])]
 
     for number in order:
         who = np.nonzero(probing[:, number])[0]
@@ -342,17 +351,17 @@ def search_part(lists: Lists, centres: Centres, coarse: int, low: int, high: int
                     end = at + 4096
                     q, x, s = scan(turned[piece], norms[:, piece], other[at:end], other_norms[:, at:end], best[piece, 0], k + 1)
                     settle(piece[q], x, s, ids[at:end], rows[at:end])
-    wide = stored.astype(np.float64)
-    return _ranked(pool, best, members, np.einsum("ij,ij->i", mine, wide) / np.linalg.norm(wide, axis=1), k)
+    to_copies = np.zeros(len(fine))
+    at = np.nonzero(copied)[0]
+    to_copies[at] = np.einsum("ij,ij->i", left(at), stored[at].astype(np.float64)) / length[at]
+    return _ranked(pool, best, members, to_copies, k)
 
 
 def _ranked(pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]], best: np.ndarray, members: list[np.ndarray], to_copies: np.ndarray, k: int) -> pd.DataFrame:
     """The k best ids of every member of the queries' rows, ties to the smaller id, no id its own neighbour."""
-    q, cosine, ids = (np.concatenate(c) for c in zip(*pool)) if pool else (np.zeros(0, int), np.zeros(0), np.zeros((0, k + 1), np.int64))
+    q, cosine, ids = (np.concatenate(c) for c in zip(*pool)) if pool else (np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64))
     keep = cosine >= best[q, 0].astype(np.float64) - 4e-6
-    q, cosine, ids = q[keep], cosine[keep], ids[keep]
-    frame = pd.DataFrame({"q": np.repeat(q, ids.shape[1]), "neighbour": ids.reshape(-1), "cosine": np.repeat(cosine, ids.shape[1])})
-    frame = frame[frame["neighbour"] != np.iinfo(np.int64).max]
+    frame = pd.DataFrame({"q": q[keep], "neighbour": ids[keep], "cosine": cosine[keep]})
     many = np.array([len(m) for m in members])
     copied = np.nonzero(many > 1)[0]
     if len(copied):  # copies of one vector are each other's neighbours
@@ -399,6 +408,7 @@ def _fit(rows: DataFrame, total: int, dim: int) -> tuple[np.ndarray, str, np.nda
     model = spark.sparkContext.broadcast(coarse)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             own = (_matrix(batch.column(1).to_pylist(), dim) @ model.value.T).argmax(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns], names=["coarse", "h", "vector"])
@@ -410,6 +420,7 @@ def _fit(rows: DataFrame, total: int, dim: int) -> tuple[np.ndarray, str, np.nda
     bounded = sample.withColumn("r", F.row_number().over(Window.partitionBy("coarse").orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS).select("coarse", "vector")
 
     def fit(table: pa.Table) -> pa.Table:
+        one_thread()
         own = table["coarse"][0].as_py()
         centres = fit_lists(_matrix(table["vector"].to_pylist(), dim), math.ceil(number[own] / LIST_SIZE))
         return pa.table({"coarse": pa.array(np.full(len(centres), own), pa.int32()), "fine": pa.array(np.arange(len(centres)), pa.int32()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
@@ -426,49 +437,58 @@ def _write_lists(rows: DataFrame, coarse: np.ndarray, centres_path: str, files:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Equal vectors of a batch become one row; `key` is a file of the vector's coarse list, by a hash of the vector."""
+        one_thread()
         own_coarse, own_files, first = model.value
         for whole in batches:
             at, found = to_matrix(whole.column(1), dim)
+            packed = [pack(r) for r in found]
+            hashes = [xxhash.xxh64_intdigest(p) - (1 << 63) for p in packed]
+            if whole.column(2).null_count < whole.num_rows:  # of the vectors of an id, the one with the smallest hash
+                fit = [n for n, (h, least) in enumerate(zip(hashes, whole.column(2).take(pa.array(at)).to_pylist())) if least is None or h == least]
+                at, found, packed, hashes = at[fit], found[fit], [packed[n] for n in fit], [hashes[n] for n in fit]
+            if not len(at):
+                continue
             ids = whole.column(0).to_numpy(zero_copy_only=False)[at]
             same: dict[bytes, int] = {}
-            row = np.array([same.setdefault(pack(r), len(same)) for r in found], np.int64)
-            if not len(row):
-                continue
+            row = np.array([same.setdefault(p, len(same)) for p in packed], np.int64)
             packed = list(same)
             first_of = np.unique(row, return_index=True)[1]
             own = np.concatenate([(unit(found[first_of[s : s + 4096]]) @ own_coarse.T).argmax(axis=1) for s in range(0, len(first_of), 4096)])
-            key = first[own] + np.array([xxhash.xxh32_intdigest(p) for p in packed], np.int64) % own_files[own]
+            hashes = np.array(hashes, np.int64)[first_of]
+            key = first[own] + hashes % own_files[own]
             groups: list[list[int]] = [[] for _ in packed]
             for r, i in zip(row.tolist(), ids.tolist()):
                 groups[r].append(i)
             groups = [sorted(set(g)) if len(g) > 1 else g for g in groups]
             yield pa.RecordBatch.from_arrays([
-                pa.array(key), pa.array(own, pa.int32()), pa.array([g[: k + 1] for g in groups], ids_type), pa.array([g[k + 1 :] or None for g in groups], ids_type), pa.array(packed, pa.binary()),
-            ], names=["key", "coarse", "top", "rest", "vector"])
+                pa.array(key), pa.array(own, pa.int32()), pa.array(hashes), pa.array([g[: k + 1] for g in groups], ids_type), pa.array([g[k + 1 :] or None for g in groups], ids_type), pa.array(packed, pa.binary()),
+            ], names=["key", "coarse", "hash", "top", "rest", "vector"])
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         centres = Centres(model.value[0], centres_path, dim)
         for batch in batches:
             own, fine = batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int32)
-            vectors = unit(unpack(batch.column(3).to_pylist(), dim)) if batch.num_rows else np.zeros((0, dim))
+            vectors = unit(unpack(batch.column(4).to_pylist(), dim)) if batch.num_rows else np.zeros((0, dim))
             for c in np.unique(own).tolist():
                 at = np.nonzero(own == c)[0]
                 if len(centres.of(c)):  # a coarse list without a sampled vector is one fine list
                     fine[at] = (vectors[at] @ centres.of(c).T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine), *batch.columns[1:]], names=["coarse", "fine", "top", "rest", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine), *batch.columns[1:]], names=["coarse", "fine", "hash", "top", "rest", "vector"])
 
     path = new_table_path(spark, "lists")
-    placed = rows.where(F.size("vector") == dim).mapInArrow(place, "key long, coarse int, top array<long>, rest array<long>, vector binary")
-    n = max(int(files.sum()), spark.sparkContext.defaultParallelism)
-    fine = placed.repartition(n, "key").drop("key").mapInArrow(refine, "coarse int, fine int, top array<long>, rest array<long>, vector binary").sortWithinPartitions("coarse", "fine")
+    placed = rows.where(F.size("vector") == dim).mapInArrow(place, "key long, coarse int, hash long, top array<long>, rest array<long>, vector binary")
+    n = max(3 * int(files.sum()), spark.sparkContext.defaultParallelism)  # so that few files share a partition
+    fine = placed.repartition(n, "key").drop("key").mapInArrow(refine, "coarse int, fine int, hash long, top array<long>, rest array<long>, vector binary").sortWithinPartitions("coarse", "fine")
     fine.write.option("compression", "none").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(1 << 20)).partitionBy("coarse").parquet(path)
     return path
 
 
-def _conflicts(rows: DataFrame) -> DataFrame:
-    """Of the rows of an id with different vectors, those to leave out: all but the one with the smallest hash."""
-    own = rows.select("chunk", F.xxhash64("vector").alias("h"))
-    return own.groupBy("chunk").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("chunk", "least")
+def _conflicts(spark: SparkSession, path: str) -> DataFrame:
+    """chunk, least: ids that stand in rows with different vectors, and the hash of the one to keep. Few bytes an id are shuffled."""
+    stored = spark.read.parquet(path).select("hash", "top", "rest")
+    own = stored.select("hash", F.explode(F.when(F.col("rest").isNull(), F.col("top")).otherwise(F.concat("top", "rest"))).alias("chunk"))
+    return own.groupBy("chunk").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most").select("chunk", "least")
 
 
 def nearest_vectors(df: DataFrame, vector_col: str = "chunk_vectors", id_col: str = "chunk_id", dim: int = 384, k: int = 5, probes: int = 12) -> DataFrame:
@@ -483,20 +503,20 @@ def nearest_vectors(df: DataFrame, vector_col: str = "chunk_vectors", id_col: st
     spark = df.sparkSession
     rows = df.select(df[id_col].cast("long").alias("chunk"), df[vector_col].cast("array<float>").alias("vector")).where("chunk is not null")
     rename = lambda out: out.withColumnRenamed("chunk", id_col)
-    usable = rows.where((F.size("vector") == dim) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
-    conflicts = write_shared(_conflicts(usable), "conflicts")
-    if not conflicts.isEmpty():
-        rows = rows.join(conflicts, "chunk", "left").where(F.col("least").isNull() | (F.xxhash64("vector") == F.col("least"))).select("chunk", "vector")
     fitted = _fit(rows, df.count(), dim)
     if fitted is None:
         return rename(spark.createDataFrame([], "chunk long, neighbour long, cosine double"))
     coarse, centres_path, files = fitted
-    path = _write_lists(rows, coarse, centres_path, files, dim, k)
+    path = _write_lists(rows.withColumn("least", F.lit(None).cast("long")), coarse, centres_path, files, dim, k)
+    conflicts = _conflicts(spark, path)
+    if not conflicts.isEmpty():
+        path = _write_lists(rows.join(write_shared(conflicts, "conflicts"), "chunk", "left").select("chunk", "vector", "least"), coarse, centres_path, files, dim, k)
 
     # Steps of some PART_IDS vectors: neighbouring fine lists of one coarse list; a larger list is searched in several steps.
     sizes = spark.read.parquet(path).groupBy(F.col("coarse").cast("int").alias("coarse"), "fine").agg(F.sum(F.size("top") + F.greatest(F.lit(0), F.coalesce(F.size("rest"), F.lit(0)))).alias("n"))
     before = F.sum("n").over(Window.partitionBy("coarse").orderBy("fine")) - F.col("n")
-    steps = sizes.withColumn("step", F.floor(before / PART_IDS)).groupBy("coarse", "step").agg(F.min("fine").alias("low"), F.max("fine").alias("high"), F.ceil(F.sum("n") / PART_IDS).cast("int").alias("parts"))
+    whole = F.sum("n").over(Window.partitionBy("coarse"))
+    steps = sizes.withColumn("step", F.floor(before * F.ceil(whole / PART_IDS) / whole)).groupBy("coarse", "step").agg(F.min("fine").alias("low"), F.max("fine").alias("high"), F.ceil(F.sum("n") / (2 * PART_IDS)).cast("int").alias("parts"))
     steps = write_shared(steps.select("coarse", "low", "high", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts"), "steps")
     n_steps = steps.count()
     slots = max(1, min(n_steps, max(spark.sparkContext.defaultParallelism * 3, n_steps // 32)))
@@ -504,10 +524,12 @@ def nearest_vectors(df: DataFrame, vector_col: str = "chunk_vectors", id_col: st
     model = spark.sparkContext.broadcast(coarse)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         lists, centres = Lists(path, dim, k), Centres(model.value, centres_path, dim)
         for batch in batches:
             for step in zip(*(batch.column(c).to_pylist() for c in ("coarse", "low", "high", "part", "parts"))):
                 out = search_part(lists, centres, *step, k, probes)
+                release_memory()
                 yield pa.RecordBatch.from_arrays([pa.array(out["chunk"].to_numpy(np.int64)), pa.array(out["neighbour"].to_numpy(np.int64)), pa.array(out["cosine"].to_numpy(np.float64))], names=["chunk", "neighbour", "cosine"])
 
     # An id sent twice may stand in two rows, each with its own neighbours.
