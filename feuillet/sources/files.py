@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,6 +23,7 @@ from feuillet.sources.pages import route
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
@@ -51,45 +53,89 @@ def word_text(data: bytes) -> str:
     return "\n\n".join(p for p in paragraphs if p)
 
 
+def _date_styles(archive: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in archive.namelist():
+        return set()
+    styles = _part(archive, "xl/styles.xml")
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")) for f in styles.iter(f"{_S}numFmt")}
+    dates = {*range(14, 23), *range(45, 48), *(n for n, code in own.items() if re.search("[ymdhs]", code, re.I) and "General" not in code)}
+    cells = styles.find(f"{_S}cellXfs")
+    return {n for n, x in enumerate(cells if cells is not None else ()) if int(x.get("numFmtId", 0)) in dates}
+
+
+def _cell(c: ElementTree.Element, shared: list[str], dates: set[int]) -> str:
+    """A cell as text: strings as they are, numbers without a needless form, truth values and dates spelled out."""
+    value, kind = c.find(f"{_S}v"), c.get("t", "n")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in c.iter(f"{_S}t"))
+    text = (value.text or "") if value is not None else ""
+    if not text.strip() or kind in ("str", "e", "d"):
+        return text
+    if kind == "s":
+        return shared[int(text)]
+    if kind == "b":
+        return str(text.strip() == "1")
+    number = float(text) if re.search("[.eE]", text) else int(text)
+    if int(c.get("s", 0)) in dates:
+        if 0 <= number < 1:
+            return str((datetime(1900, 1, 1) + timedelta(seconds=round(86400 * number))).time())
+        return str(datetime(1899, 12, 30) + timedelta(seconds=round(86400 * number)))  # day 60 is one that never was
+    return str(number)
+
+
 def sheet_text(data: bytes) -> str:
     """`Sheet: <title>` and the rows of each sheet that has any, cells joined by ` | `; values as cached by the program."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in _part(z, "xl/sharedStrings.xml").findall(f"{_S}si")] if "xl/sharedStrings.xml" in names else []
-        target = {r.get("Id"): r.get("Target").lstrip("/").removeprefix("xl/") for r in _part(z, "xl/_rels/workbook.xml.rels")}
+        dates = _date_styles(z)
+        target = _targets(z, "xl/_rels/workbook.xml.rels")
         out = []
         for sheet in _part(z, "xl/workbook.xml").iter(f"{_S}sheet"):
-            rows = []
-            for row in _part(z, f"xl/{target[sheet.get(f'{_R}id')]}").iter(f"{_S}row"):
-                cells = []
-                for c in row.findall(f"{_S}c"):
-                    value = c.find(f"{_S}v")
-                    text = "".join(t.text or "" for t in c.iter(f"{_S}t")) if c.get("t") == "inlineStr" else value.text if value is not None else ""
-                    text = shared[int(text)] if c.get("t") == "s" and text else text
-                    if text and text.strip():
-                        cells.append(text.strip())
-                if cells:
-                    rows.append(" | ".join(cells))
-            if rows:
-                out.append("\n".join([f"Sheet: {sheet.get('name')}", *rows]))
+            lines = []
+            for row in _part(z, "xl/" + target[sheet.get(f"{_R}id")].removeprefix("xl/")).iter(f"{_S}row"):
+                cells = (_cell(c, shared, dates).strip() for c in row.findall(f"{_S}c"))
+                lines.append(" | ".join(x for x in cells if x))
+            lines = [x for x in lines if x]
+            if lines:
+                out += [f"Sheet: {sheet.get('name')}", "\n".join(lines)]
     return "\n\n".join(out)
 
 
+def _targets(archive: zipfile.ZipFile, name: str) -> dict[str, str]:
+    return {r.get("Id"): r.get("Target").lstrip("/") for r in _part(archive, name)}
+
+
+def _slides(archive: zipfile.ZipFile) -> list[str]:
+    """The slides in the order of the presentation, or of their numbers where it has none."""
+    names = [n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]
+    if {"ppt/presentation.xml", "ppt/_rels/presentation.xml.rels"} <= set(archive.namelist()):
+        target = _targets(archive, "ppt/_rels/presentation.xml.rels")
+        listed = [target.get(s.get(f"{_R}id"), "") for s in _part(archive, "ppt/presentation.xml").iter(f"{_P}sldId")]
+        return [n for n in ("ppt/" + t.removeprefix("ppt/") for t in listed) if n in names]
+    return sorted(names, key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
+def _shape_lines(shape: ElementTree.Element) -> list[str]:
+    """The rows of a table, or the paragraphs of anything else as one piece."""
+    text = lambda x: "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in x.iter(f"{_A}p")).strip()
+    tables = list(shape.iter(f"{_A}tbl"))
+    if tables:
+        return [" | ".join(x for x in map(text, row.findall(f"{_A}tc")) if x) for t in tables for row in t.iter(f"{_A}tr")]
+    return [text(shape)]
+
+
 def slide_text(data: bytes) -> str:
-    """`Slide <n>` and the texts of each slide that has any, table rows joined by ` | `; n counts empty slides too."""
+    """`Slide <n>` and the texts of each slide that has any, shape by shape, table rows joined by ` | `; n counts empty slides too."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
         out = []
-        for number, name in enumerate(slides, 1):
-            tree, lines = _part(z, name), []
-            in_tables = {id(p) for t in tree.iter(f"{_A}tbl") for p in t.iter(f"{_A}p")}
-            paragraph = lambda p: "".join(t.text or "" for t in p.iter(f"{_A}t")).strip()
-            lines += [paragraph(p) for p in tree.iter(f"{_A}p") if id(p) not in in_tables]
-            for row in tree.iter(f"{_A}tr"):
-                lines.append(" | ".join(x for x in (" ".join(filter(None, map(paragraph, c.iter(f"{_A}p")))) for c in row.findall(f"{_A}tc")) if x))
-            lines = [x for x in lines if x]
+        for number, name in enumerate(_slides(z), 1):
+            tree = _part(z, name)
+            shapes = tree.find(f".//{_P}spTree")
+            lines = [line for shape in (tree if shapes is None else shapes) if shape.tag != f"{_P}grpSp" for line in _shape_lines(shape) if line]
             if lines:
-                out.append("\n".join([f"Slide {number}", *lines]))
+                out += [f"Slide {number}", "\n".join(lines)]
     return "\n\n".join(out)
 
 
