@@ -27,6 +27,7 @@ REFERENCES = 16  # the empty fingerprint and fifteen of topics
 SAMPLE_ROWS = 2000  # bound of the sample that the topic references are drawn from
 ROWS_PER_BAND = 4
 SKETCH_LONGS = 4
+BAND_GROUP = 4000  # members of a band that are paired in one step; a band with more is cut into groups
 
 
 def bands_for(threshold: float, miss: float = 5e-4) -> int:
@@ -133,13 +134,44 @@ def _within(a: str, b: str, bound: Column) -> Column:
     return tests
 
 
+def group_of(one: Column, other: Column) -> Column:
+    return F.least(one, other) * F.lit(1 << 20) + F.greatest(one, other)
+
+
+def band_pairs(keyed: DataFrame, size: int | None = None, share: int = 16) -> DataFrame:
+    """a < b: the ids (of `id`, `band`) that share a band, once for each such band.
+
+    A band with more than some BAND_GROUP members, by a count over every `share`-th id, is cut into parts, and every two parts
+    meet in a step of their own, so no task holds the band whole. Whichever bands are cut, every two members meet; so the
+    count need not be exact.
+    """
+    size = size or BAND_GROUP
+    meet = lambda df, on: df.select(*on, F.col("id").alias("a"), *(["home"] if "home" in df.columns else []))
+    counted = keyed.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0).groupBy("band").agg((F.count("*") * share).alias("n"))
+    # Written, so that its size is known before a join with it is planned.
+    large = write_shared(counted.where(F.col("n") > size).select("band", F.ceil(F.col("n") / size).cast("int").alias("parts")), "bands")
+    hot = not large.isEmpty()
+    small = keyed.join(large.select("band"), "band", "left_anti") if hot else keyed
+    pairs = meet(small, ["band"]).join(small.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b")
+    if hot:
+        cut = keyed.join(large, "band").withColumn("home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"))
+        cut = cut.select("id", "band", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).withColumn("group", group_of(F.col("home"), F.col("o")))
+        # Members of one part meet in its own step only, those of two parts in the step of the two.
+        inside = (F.col("home") != F.col("other")) | (F.col("group") == group_of(F.col("home"), F.col("home")))
+        met = meet(cut, ["band", "group"]).join(cut.select("band", "group", F.col("home").alias("other"), F.col("id").alias("b")), ["band", "group"])
+        pairs = pairs.unionByName(met.where((F.col("a") < F.col("b")) & inside).select("a", "b"))
+    return pairs
+
+
 def similar_classes(df: DataFrame, threshold: float = 0.8, shingle: int = 5, text_col: str = "extracted_text", id_col: str = "id", name_col: str | None = "file_name") -> tuple[DataFrame, DataFrame]:
     """(membership, pairs): id and class_id of every text, and class_a < class_b with their similarity, at least `threshold`.
 
     The words of the name and then of the text are taken, as stored. A class holds the texts with one and the same set of
     `shingle` consecutive words; its id is the smallest one. Texts without such a sequence (null, empty, too short) take no
     part. Repeated rows of an id count once, rows with a null id not at all. Other columns, whatever their names, play no
-    part. Only candidate generation is by chance: a pair at the threshold is missed with at most 0.0005, and far less above.
+    part. The bands and the sketch are by chance: a pair at the threshold shares no band with a chance of at most 0.0005 and fails
+    the sketch at five standard deviations, and far less above; the table and the check are exact. A band with very many
+    members is paired group by group, so no task holds it whole.
     """
     spark = df.sparkSession
     rows = _text(df, id_col, name_col, text_col)
@@ -170,9 +202,7 @@ def similar_classes(df: DataFrame, threshold: float = 0.8, shingle: int = 5, tex
     others = copies.where("id <> class_id").select("id")
     # Each class stands in the search by one row. The few copies are taken out, not the many others joined in.
     single = signed.join(others, "id", "left_anti")
-    keyed = single.select("id", F.explode("bands").alias("band"))
-    left, right = keyed.select("band", F.col("id").alias("a")), keyed.select("band", F.col("id").alias("b"))
-    pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()
+    pairs = band_pairs(single.select("id", F.explode("bands").alias("band"))).distinct()
 
     table = single.select("id", "n", *longs)
     side = lambda s: table.select(*(F.col(c).alias(f"{s}_{c}") for c in table.columns))
@@ -191,8 +221,11 @@ def similar_classes(df: DataFrame, threshold: float = 0.8, shingle: int = 5, tex
             sets = _sets(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "grams"])
 
+    # The sets are made once: every end of a pair gets its own, then the two ends of a pair come together.
     sets = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(full, "id long, grams array<long>")
-    joined = survivors.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    ends = survivors.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(sets, "id")
+    of = lambda end: F.first(F.when(F.col("id") == F.col(end), F.col("grams")), ignorenulls=True)
+    joined = ends.groupBy("a", "b").agg(of("a").alias("x"), of("b").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     exact = joined.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
     membership = signed.select("id", "same").distinct().join(classes.select("same", "class_id"), "same").select(F.col("id").alias(id_col), "class_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feuillet.llm import ann, leak, mixture, mojibake, neardup, ocr, residue, split
@@ -64,6 +64,16 @@ def p5_passages(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "ged_documents"))
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of every file that was cut: its length, and whether its passages fit, cover it without a gap, and overlap as they should."""
+    rows = split.split_oversized(table(spark, d, "ged_documents"))
+    near = Window.partitionBy("id").orderBy("passage_no")
+    before = F.lag("end").over(near)
+    rows = rows.withColumn("joined", before.isNull() & (F.col("start") == 0) | (F.col("start") <= before) & (before - F.col("start") <= 150) & (F.col("start") > F.lag("start").over(near)))
+    fits = (F.length("passage") <= 900) & (F.length("passage") == F.col("end") - F.col("start"))
+    return rows.groupBy("id").agg(F.max("end").cast("long").alias("chars"), F.bool_and(fits).alias("fits"), F.bool_and("joined").alias("covers"), (F.max("passage_no") == F.count("*")).alias("numbered"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts and items with at least 13 consecutive words in common."""
     return leak.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_passages")).where("longest_run >= 13").select("doc_id", "item_id").distinct()
@@ -105,7 +115,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": r"""
+            WITH t AS (SELECT id, regexp_extract_all(lower(coalesce(file_name, '') || ' ' || coalesce(extracted_text, '')), '[\p{L}\p{N}]+') AS w FROM ged_documents),
+            g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)),
+            n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+            c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+            SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)""",
         "p5_found": r"SELECT id FROM ged_documents WHERE length(trim(extracted_text, chr(32) || chr(9) || chr(13) || chr(10))) > 900",
+        "p5_checked": r"SELECT id, length(trim(extracted_text, chr(32) || chr(9) || chr(13) || chr(10))) AS chars, TRUE AS fits, TRUE AS covers, TRUE AS numbered FROM ged_documents WHERE length(trim(extracted_text, chr(32) || chr(9) || chr(13) || chr(10))) > 900",
         "p7_found": """
             WITH t AS (SELECT sum(coalesce(strlen(text), 0)) AS n FROM documents),
             s AS (SELECT lower(trim(source)) AS source, sum(coalesce(strlen(text), 0)) AS size FROM documents GROUP BY 1)

@@ -8,6 +8,7 @@ trimmed text and the slices cover it without a gap.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,8 +34,14 @@ def pieces(text: str, start: int, end: int, limit: int, level: int = 0) -> Itera
         yield start, end, "end"
         return
     if level == len(LEVELS):
-        for at in range(start, end, limit):
-            yield at, min(end, at + limit), "character"
+        at = start
+        while at < end:
+            cut = min(end, at + limit)
+            while cut < end and cut > at + 1 and unicodedata.category(text[cut])[0] == "M":
+                cut -= 1  # a mark stays with its letter
+            cut = cut if cut > at + 1 else min(end, at + limit)
+            yield at, cut, "character"
+            at = cut
         return
     name, separator = LEVELS[level]
     at = start
@@ -94,7 +101,8 @@ def split_oversized(
 
     Null, empty and blank texts give no row. Texts of at most `limit` characters give no row, or with
     `only_oversized=False` one. Repeated ids are cut row by row. Only the two columns are read, so other columns, whatever
-    their names, play no part. An empty table gives an empty result. No shuffle: one narrow pass over the texts.
+    their names, play no part. An empty table gives an empty result. One narrow pass over the texts; only a table smaller than a
+    split a core is dealt out first.
     """
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     arrow_id = pa.field("id", pa.string() if dict(source.dtypes)["id"] == "string" else pa.int64())

@@ -48,7 +48,21 @@ def test_reference_table_loses_no_pair():
     sets = [np.unique(rng.integers(0, 600, rng.integers(20, 200)).astype(np.uint64) << np.uint64(33)) for _ in range(60)]
     signer = N.Signer(N.topic_references(sets), 4)
     _, packed, _ = signer(sets)
-    coordinates = np.stack([(packed.view(np.uint64)[:, j] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for j in range(4) for k in range(4)], axis=1).astype(int)
+    coordinates = np.stack([(packed.view(np.uint64)[:, j] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for j in range(N.REFERENCES // 4) for k in range(4)], axis=1).astype(int)
     for i in range(60):
         for j in range(60):
             assert np.abs(coordinates[i] - coordinates[j]).max() <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_large_bands_are_paired_in_groups(spark, monkeypatch):
+    """Every two members of a band meet exactly once, however it is cut."""
+    keyed = spark.createDataFrame([(i, 7) for i in range(90)] + [(i, 8) for i in range(5)], "id long, band long")
+    want = sorted([(a, b) for b in range(90) for a in range(b)] + [(a, b) for b in range(5) for a in range(b)])
+    for size in (500, 20, 3):
+        assert sorted((r.a, r.b) for r in N.band_pairs(keyed, size, 1).collect()) == want
+    rows = table()
+    df = spark.createDataFrame(rows, "id long, file_name string, extracted_text string")
+    whole = {tuple(r) for r in N.similar_pairs(df, 0.6, 3).collect()}
+    monkeypatch.setattr(N, "BAND_GROUP", 3)
+    monkeypatch.setattr(N.band_pairs, "__defaults__", (None, 1))
+    assert {tuple(r) for r in N.similar_pairs(df, 0.6, 3).collect()} == whole == brute(rows, 3, 0.6)

@@ -30,6 +30,13 @@ def test_boundaries():
     assert len(split.split_text("x" * 5000)) > 5
 
 
+def test_marks_stay_with_their_letters():
+    text = "e\u0301" * 2000
+    got = split.split_text(text, 901, 0)
+    assert "".join(p for *_, p in got) == text and all(p[0] == "e" and p[-1] == "\u0301" for *_, p in got)
+    assert len(split.split_text("\u0301" * 2000)) > 1
+
+
 def test_split_operator(spark):
     rows = [(1, None), (2, ""), (3, "a" * 900), (4, " \n" + "b " * 460 + "\t"), (4, "c" * 901), (5, "d " * 300_000)]
     df = spark.createDataFrame(rows, "id long, extracted_text string").selectExpr("*", "1 as passage_no")
