@@ -146,6 +146,13 @@ def log_level(status: Column | str) -> Column:
     return F.when(s >= 500, "ERROR").when(s >= 400, "WARNING").otherwise("INFO")
 
 
+def user_suffix(name: Column | str, email: Column | str) -> Column:
+    """What a log line says of a user: the name, or the mail address where there is none, and the address beside a name."""
+    mail = F.nullif(col(email), F.lit(""))
+    shown = F.coalesce(F.nullif(col(name), F.lit("")), mail, F.lit("?"))
+    return F.concat(F.lit(" — user: "), shown, F.when(mail != shown, F.concat(F.lit(" ("), mail, F.lit(")"))).otherwise(""))
+
+
 def safe_name(c: Column | str) -> Column:
     """File name of a shard: anything but letters, digits, - and _ becomes _."""
     return F.regexp_replace(col(c), r"[^\p{L}\p{N}_-]", "_")

@@ -70,12 +70,13 @@ def garbled_flag(spark: SparkSession, d: str) -> DataFrame:
     u AS (SELECT id, b, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM t),
     f AS (SELECT id, first(x ORDER BY i) AS x, min(i) AS i FROM u WHERE NOT list_contains(list_transform(b, lambda y: lower(y)), lower(x)) GROUP BY id, lower(x)),
     g AS (SELECT id, string_agg(x, chr(10) ORDER BY i) AS more FROM f GROUP BY id)
-    SELECT t.id, length({_strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string(t.b, chr(10)) || coalesce(chr(10) || g.more, ''), '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\x0b]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")}) AS n
+    SELECT t.id, length({_strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string(t.b, chr(10)) || coalesce(chr(10) || g.more, ''), '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\x0b]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")}) AS n, md5({_strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string(t.b, chr(10)) || coalesce(chr(10) || g.more, ''), '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\x0b]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")}) AS h
     FROM t LEFT JOIN g USING (id)""")
 def merge_layers(spark: SparkSession, d: str) -> DataFrame:
     rows = ged(spark, d).where(F.length(T.strip("extracted_text")) > 0)
     more = F.concat(F.upper("file_name"), F.lit("\n"), F.col("file_name"), F.lit("\n"), F.coalesce("content_hash", F.lit("")))
-    return rows.select("id", F.length(T.merge_text_layers("extracted_text", more)).cast("long").alias("n"))
+    merged = T.merge_text_layers("extracted_text", more)
+    return rows.select("id", F.length(merged).cast("long").alias("n"), F.md5(merged).alias("h"))
 
 
 @query(f"SELECT t AS term, count(*) AS n, count(DISTINCT id) AS rows FROM (SELECT id, unnest(list_filter(regexp_extract_all(lower(extracted_text), '{T.TOKEN}'), lambda x: x NOT IN ({STOP}))) AS t FROM ged_documents) GROUP BY t")
@@ -133,6 +134,11 @@ def file_labels(spark: SparkSession, d: str) -> DataFrame:
     return ged(spark, d).select("id", T.file_type_label("file_type").alias("label"), T.epoch_date("modified_at").cast("string").alias("modified_on"), T.safe_name("file_name").alias("safe"), T.file_suffix("relative_path").alias("suffix"), T.is_supported("relative_path").alias("supported"))
 
 
+@query("""SELECT id, ' — user: ' || coalesce(nullif(full_name, ''), nullif(email, ''), '?') || CASE WHEN email <> '' AND email <> coalesce(nullif(full_name, ''), nullif(email, ''), '?') THEN ' (' || email || ')' ELSE '' END AS suffix FROM users""")
+def log_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "users").select("id", T.user_suffix("full_name", "email").alias("suffix"))
+
+
 @query("SELECT event_id, CASE WHEN value >= 500 THEN 'ERROR' WHEN value >= 400 THEN 'WARNING' ELSE 'INFO' END AS level FROM events")
 def log_levels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", T.log_level("value").alias("level"))
