@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feuillet.functions.text import file_suffix, is_supported, normalize_whitespace
-from feuillet.sources.pages import route
+from feuillet.sources.pages import animation_reader, file_readers, pdf_documents, route
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -154,7 +154,14 @@ def image_text(data: bytes) -> str:
     return "\n".join(line[1] for line in found or [])
 
 
-READERS: dict[str, Callable[[bytes], str]] = {".docx": word_text, ".xlsx": sheet_text, ".pptx": slide_text, ".pdf": pdf_text, **dict.fromkeys((".gif", ".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".webp"), image_text)}
+def gif_text(data: bytes) -> str:
+    from rapidocr_onnxruntime import RapidOCR  # noqa: F401 - tells that it is missing
+
+    readers = file_readers()
+    return animation_reader(readers["frames"], readers["recognise"])(data)
+
+
+READERS: dict[str, Callable[[bytes], str]] = {".docx": word_text, ".xlsx": sheet_text, ".pptx": slide_text, ".pdf": pdf_text, ".gif": gif_text, **dict.fromkeys((".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".webp"), image_text)}
 
 
 def extract(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
@@ -178,3 +185,17 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None
 
 
 route_pdf = route
+
+
+def extract_documents(files: DataFrame, pdf_readers: dict[str, Callable] | None = None, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """`extract`, with PDFs by the chain of pages and images if all its readers are there: their text, what their images add,
+    or the recognised pages. Equal contents are read once."""
+    pdf = pdf_readers if pdf_readers is not None else file_readers()
+    if not {"native", "images", "render", "recognise"} <= pdf.keys():
+        return extract(files, readers)
+    others = extract(files.where("file_type <> '.pdf'"), readers)
+    own = files.where("file_type = '.pdf'")
+    once = own.dropDuplicates(["content_hash"]).select(F.col("content_hash").alias("path"), "content")
+    texts = pdf_documents(once, pdf).select(F.col("path").alias("content_hash"), "text")
+    read = own.drop("content").join(texts, "content_hash", "left").withColumn("error", F.when(F.col("text").isNull(), "the PDF can't be read"))
+    return others.unionByName(read)

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from feuillet.functions.text import looks_garbled, merge_text_layers, normalize_whitespace
 
@@ -128,16 +130,19 @@ def route(documents: DataFrame) -> DataFrame:
     return documents.select("path", case.alias("case"), text.alias("text"))
 
 
-def documents_text(pages: DataFrame, images: DataFrame, recognise: Callable[[bytes], str], rendered: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+def documents_text(pages: DataFrame, images: DataFrame, recognise: Callable[[bytes], str], rendered: DataFrame | Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
     """path, case, text of a table of documents: pages with native text, images with fingerprints and, for documents
-    without usable text, rendered pages (path, page_no, image). Only what a case needs is recognised."""
+    without usable text, rendered pages (path, page_no, image), or what gives them for the paths that need them. Only what a
+    case needs is rendered and recognised."""
     native = native_text(pages).withColumnRenamed("text", "native")
     base = pages.select("path").distinct().join(native, "path", "left").join(raster_flags(images), "path", "left").withColumn("has_raster", F.coalesce("has_raster", F.lit(False)))
     case = route(base.withColumn("image_text", F.lit(None).cast("string")).withColumn("page_text", F.lit(None).cast("string"))).select("path", "case")
     unique = unique_images(images.join(case.where("case <> 'A'"), "path", "left_semi"))
     read = image_text(unique, recognise_once(unique, recognise, known)).withColumnRenamed("text", "image_text")
     if rendered is not None:
-        own = rendered.join(case.where("case = 'C'"), "path", "left_semi").withColumn("fingerprint", F.sha2("image", 256))
+        wanted = case.where("case = 'C'").select("path")
+        own = rendered(wanted) if callable(rendered) else rendered.join(wanted, "path", "left_semi")
+        own = own.withColumn("fingerprint", F.sha2("image", 256))
         texts = recognise_once(own, recognise)
         whole = page_text(own.join(texts, "fingerprint").select("path", "page_no", "text")).withColumnRenamed("text", "page_text")
         base = base.join(whole, "path", "left")
@@ -183,6 +188,9 @@ def file_readers() -> dict[str, Callable]:
 
 def explode_file(files: DataFrame, read: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
     """path and the rows that `read` gives for the content of each file, such as pages or images; a broken file gives none."""
+    wanted = StructType.fromDDL("path string, " + schema)
+    arrow = to_arrow_schema(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -191,7 +199,27 @@ def explode_file(files: DataFrame, read: Callable[[bytes], list[tuple]], schema:
                 except Exception:  # noqa: BLE001 - a broken file must not end the job
                     rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return files.select("path", "content").mapInArrow(run, wanted)
+
+
+def pdf_documents(files: DataFrame, readers: dict[str, Callable]) -> DataFrame:
+    """path, case, text of PDF files (path, content) by the readers given: `native` (texts of the pages), `images` (page,
+    position, width, height, RGB bytes), `render` (bytes of the rendered pages), `recognise` (text of an image). A broken file
+    has no row. Only files without usable text are rendered."""
+    native = explode_file(files, lambda data: list(enumerate(readers["native"](data))), "page_no int, native string")
+    images = explode_file(files, readers["images"], "page_no int, position int, width int, height int, image binary").withColumn("fingerprint", raw_fingerprint())
+    render = lambda paths: explode_file(files.join(paths, "path", "left_semi"), lambda data: list(enumerate(readers["render"](data))), "page_no int, image binary")
+    return documents_text(native, images, readers["recognise"], render)
+
+
+def animation_reader(frames: Callable[[bytes], list], recognise: Callable[[object], str]) -> Callable[[bytes], str]:
+    """A reader of animations: what the first, middle and last frame say (all of up to three), equal texts once."""
+    def read(data: bytes) -> str:
+        all_frames = frames(data)
+        n = len(all_frames)
+        chosen = range(n) if n <= 3 else (0, n // 2, n - 1)
+        return "\n\n".join(dict.fromkeys(t for t in (recognise(all_frames[k]) for k in chosen) if t))
 
-    names = ["path", *(c.split()[0] for c in schema.split(","))]
-    return files.select("path", "content").mapInArrow(run, "path string, " + schema)
+    return read

@@ -1,7 +1,7 @@
 import io
 import zipfile
 
-from feuillet.sources import files
+from feuillet.sources import files, pages
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
@@ -71,3 +71,28 @@ def test_slides_and_shapes_keep_their_order():
         "ppt/slides/slide1.xml": slide(shape("avant"), table, shape("après")), "ppt/slides/slide2.xml": slide(shape("premier"), "<p:grpSp>" + shape("groupe") + "</p:grpSp>"),
     })
     assert files.slide_text(deck) == "Slide 1\n\npremier\n\nSlide 2\n\navant\nx | y\naprès"
+
+
+def test_pdf_chain(spark):
+    def lines(data):
+        """A stand-in for PDF: one line a page, `text|says` with what its only image says, or `!` for a broken file."""
+        if data.startswith(b"!"):
+            raise ValueError("broken")
+        return [line.split("|") for line in data.decode().split("\n")]
+
+    raw = lambda says: says.encode().ljust(210 * 200 * 3, b" ")
+    readers = {
+        "native": lambda data: [t for t, _ in lines(data)],
+        "images": lambda data: [(n, 0, 210, 200, raw(says)) for n, (_, says) in enumerate(lines(data)) if says],
+        "render": lambda data: [f"page {n}: {says}".encode() for n, (_, says) in enumerate(lines(data))],
+        "recognise": lambda image: bytes(image).decode().strip(),
+    }
+    rows = [("a.pdf", b"un texte|"), ("b.pdf", b"un texte|tampon\nsuite|tampon"), ("copie.pdf", b"un texte|tampon\nsuite|tampon"), ("c.pdf", b"1 2 3|scan\n|fin"), ("d.pdf", b"!"), ("e.docx", DOCX)]
+    df = spark.createDataFrame([(p, "." + p.rsplit(".")[-1], bytearray(c)) for p, c in rows], "path string, file_type string, content binary").selectExpr("*", "sha2(content, 256) as content_hash")
+    got = {r.path: (r.text, r.error) for r in files.extract_documents(df, readers).collect()}
+    assert got["a.pdf"] == ("un texte", None) and got["b.pdf"] == got["copie.pdf"] == ("un texte\nsuite\ntampon", None)
+    assert got["c.pdf"] == ("1 2 3\npage 0: scan\npage 1: fin", None) and got["d.pdf"][0] is None and got["d.pdf"][1] and got["e.docx"] == ("Un contrat\n\nFin", None)
+
+def test_animation_reader():
+    read = pages.animation_reader(lambda data: data.decode().split(","), str)
+    assert read(b"a,b,a") == "a\n\nb" and read(b"a,x,x,b,x,c") == "a\n\nb\n\nc" and read(b"x") == "x"
