@@ -53,8 +53,11 @@ def to_matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    wide = rows.astype(np.float64)
-    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+    out = np.empty(rows.shape, np.float32)
+    for at in range(0, len(rows), 2048):
+        wide = rows[at : at + 2048].astype(np.float64)
+        out[at : at + 2048] = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    return out
 
 
 def pack(row: np.ndarray) -> bytes:
@@ -64,8 +67,9 @@ def pack(row: np.ndarray) -> bytes:
 
 
 def unpack(data: list[bytes], dim: int) -> np.ndarray:
+    """The vectors again, with two bytes a number in memory too if all of them have."""
     if data and all(len(d) == 2 * dim for d in data):
-        return np.frombuffer(b"".join(data), np.float16).reshape(-1, dim).astype(np.float32)
+        return np.frombuffer(b"".join(data), np.float16).reshape(-1, dim)
     out = np.empty((len(data), dim), np.float32)
     for k, d in enumerate(data):
         out[k] = np.frombuffer(d, np.float16 if len(d) == 2 * dim else np.float32)
