@@ -1,14 +1,16 @@
 """Text decoded with the wrong encoding: detection and repair.
 
-Character n-gram models with Jelinek-Mercer smoothing are trained on clean records. Every candidate chain (take the text's
-bytes in encoding W, read them in encoding R, once or repeatedly) is scored on each word that holds characters beyond
+Character n-gram models with Jelinek-Mercer smoothing are trained on all clean records. Every candidate chain (take the
+text's bytes in encoding W, read them in encoding R, once or repeatedly) is scored on each word that holds characters beyond
 ASCII; a record is repaired by the likeliest chain if its gain passes a margin validated on held-out records.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +26,8 @@ UNITS = [(w, "utf-8") for w in (*LEGACY, "iso8859-2")] + [(w, r) for w in LEGACY
 CHAINS = [(u,) for u in UNITS] + [(a, b) for a in UNITS[:3] for b in UNITS[:3]] + [(UNITS[0],) * 3]
 SWAP_EXTRA = 10.0  # further gain for chains that never pass UTF-8: single bytes swapped carry no check of their own
 LOST = "�"
-SAMPLE_ROWS = 3000  # bound of the training sample; whole texts, chosen by a hash of the row
 ORDER = 4
+FOLDS = 5  # one of them, by a hash of the text, is held out of the model and validates the margin
 BEYOND = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -65,6 +67,29 @@ def apply_chain(text: str, chain: tuple) -> str | None:
     return text
 
 
+def _summed(keys: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its numbers."""
+    if not len(keys):
+        return keys, number
+    order = np.argsort(keys, kind="stable")
+    keys, number = keys[order], number[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(number, first)
+
+
+def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences of ORDER characters (16 bits each, the last one lowest) and their numbers. Each text stands between
+    blanks, so its counts don't depend on the texts beside it."""
+    codes = np.frombuffer("\n\n\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.minimum(codes, 0xFFFF).astype(np.uint64)
+    codes[(codes == 10) | (codes == 13) | (codes == 9) | (codes == 0xA0)] = 32
+    key = codes[ORDER - 1 :].copy()
+    for n in range(1, ORDER):
+        key |= codes[ORDER - 1 - n : -n] << np.uint64(16 * n)
+    keys, number = np.unique(key, return_counts=True)
+    return keys, number.astype(np.int64)
+
+
 @dataclass
 class NgramModel:
     """log P of a character after its predecessors, interpolated from order 0 (uniform) to ORDER."""
@@ -75,42 +100,47 @@ class NgramModel:
 
     @classmethod
     def train(cls, texts: list[str]) -> NgramModel:
-        model = cls()
-        codes = np.frombuffer("\n\n\n".join(["", *texts]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        codes = np.where((codes == 10) | (codes == 13) | (codes == 9) | (codes == 0xA0), 32, codes)
-        key = np.zeros(len(codes), np.uint64)
-        counts: list[dict] = [{0: len(codes)}]
-        for n in range(1, ORDER + 1):
-            shifted = np.concatenate([np.full(n - 1, 32, np.uint64), codes[: len(codes) - n + 1]]) if n > 1 else codes
-            key = key | (shifted << np.uint64(16 * (n - 1))) if n > 1 else codes & np.uint64(0xFFFF)
-            values, number = np.unique(key, return_counts=True)
-            counts.append(dict(zip(values.tolist(), number.tolist())))
-        model.tables = counts
-        return model
+        return cls.counted(*count_grams(texts))
+
+    @classmethod
+    def counted(cls, keys: np.ndarray, number: np.ndarray) -> NgramModel:
+        """The model of counted sequences of ORDER characters; the counts of shorter ones are their sums."""
+        tables: list[dict] = []
+        for n in range(ORDER, 0, -1):
+            keys, number = _summed(keys & np.uint64((1 << 16 * n) - 1), number)
+            tables.append(dict(zip(keys.tolist(), number.tolist())))
+        return cls([{0: int(number.sum())}, *reversed(tables)])
 
     def log_p(self, text: str) -> np.ndarray:
         """log P of each character of a word that stands after a space, and of the space after it."""
-        own = [32] * (ORDER - 1) + [min(ord(c), 0xFFFF) for c in text] + [32]
+        own, known = f"{' ' * (ORDER - 1)}{text} ", self.known
         out = np.empty(len(text) + 1)
-        for i in range(ORDER - 1, len(own)):
-            window = tuple(own[i - ORDER + 1 : i + 1])
-            p = self.known.get(window)
-            if p is None:
-                if len(self.known) > 400_000:
-                    self.known.clear()
-                p = self.known[window] = self._log(window)
-            out[i - ORDER + 1] = p
+        for i in range(len(out)):
+            p = known.get(own[i : i + ORDER])
+            out[i] = self._log(own[i : i + ORDER]) if p is None else p
         return out
 
-    def _log(self, window: tuple) -> float:
+    def part(self, text: str, start: int, end: int, least: float = -np.inf) -> float:
+        """The sum of `log_p` from `start` to `end`; it is broken off once it falls below `least`."""
+        own, known, total = f"{' ' * (ORDER - 1)}{text} ", self.known, 0.0
+        for i in range(start, min(end, len(text) + 1)):
+            p = known.get(own[i : i + ORDER])
+            total += self._log(own[i : i + ORDER]) if p is None else p
+            if total < least:
+                break
+        return total
+
+    def _log(self, window: str) -> float:
+        codes = [min(ord(c), 0xFFFF) for c in reversed(window)]
         p = self.lambdas[0] / 0x10000
         for n in range(1, ORDER + 1):
-            key = sum(c << 16 * k for k, c in enumerate(reversed(window[-n:])))
-            context = sum(c << 16 * k for k, c in enumerate(reversed(window[-n:-1])))
-            below = self.tables[n - 1].get(context, 0)
+            below = self.tables[n - 1].get(sum(c << 16 * k for k, c in enumerate(codes[1:n])), 0)
             if below:
-                p += self.lambdas[n] * self.tables[n].get(key, 0) / below
-        return float(np.log(p))
+                p += self.lambdas[n] * self.tables[n].get(sum(c << 16 * k for k, c in enumerate(codes[:n])), 0) / below
+        if len(self.known) > 400_000:
+            self.known.clear()
+        self.known[window] = p = math.log(p)
+        return p
 
 
 @dataclass
@@ -134,27 +164,39 @@ class Judge:
         return found
 
     def _word(self, word: str) -> list[tuple[int, float, str]]:
-        here = self.model.log_p(word)
         # A candidate differs only near the characters beyond ASCII, and no probability passes 1.
-        near = np.zeros(len(here), bool)
-        for m in BEYOND.finditer(word):
-            near[m.start() : m.end() + ORDER - 1] = True
-        if -here[near].sum() < self.word_gain:
+        spans = [(m.start(), m.end() + ORDER - 1) for m in BEYOND.finditer(word)]
+        joined = [spans[0]] if spans else []
+        for start, end in spans[1:]:
+            joined[-1:] = [(joined[-1][0], end)] if start <= joined[-1][1] else [joined[-1], (start, end)]
+        if -sum(self.model.part(word, *span) for span in joined) < self.word_gain:
             return []
-        total, out, seen = float(here.sum()), [], {}
+        out, seen = [], {}
         for n in sorted({n for part in self._parts(word) for n in self._run(*part)}):
             fixed = self._candidate(word, n)
             if not fixed or fixed == word:
                 continue
             if fixed not in seen:
-                there = self.model.log_p(fixed)
-                marks = np.array([ord(c) > 127 and c != LOST for c in fixed] + [False])
-                worst = there[marks].mean() if marks.any() else 0.0
-                seen[fixed] = float(there.sum()) - total if worst >= self.plausible and not any(0x7F < ord(c) < 0xA0 for c in fixed) else -1.0
+                seen[fixed] = self._gain(word, fixed)
             if seen[fixed] >= self.word_gain:
                 out.append((n, seen[fixed], fixed))
         return out
 
+    def _gain(self, word: str, fixed: str) -> float:
+        """How much likelier the candidate is than the word; -1 if that is too little or its own letters are not plausible."""
+        if any(0x7F < ord(c) < 0xA0 for c in fixed):
+            return -1.0
+        most = min(len(word), len(fixed))
+        a = next((k for k in range(most) if word[k] != fixed[k]), most)
+        b = next((k for k in range(most - a) if word[-1 - k] != fixed[-1 - k]), most - a)
+        here = self.model.part(word, a, len(word) - b + ORDER - 1)
+        gain = self.model.part(fixed, a, len(fixed) - b + ORDER - 1, here + self.word_gain) - here
+        if gain < self.word_gain:
+            return -1.0
+        there = self.model.log_p(fixed)
+        marks = np.array([ord(c) > 127 and c != LOST for c in fixed] + [False])
+        return gain if not marks.any() or there[marks].mean() >= self.plausible else -1.0
+
     @staticmethod
     def _parts(word: str) -> list[tuple[str, bool]]:
         """The runs beyond ASCII of a word, and whether each ends it."""
@@ -200,6 +242,14 @@ class Judge:
     def passes(self, n: int, gain: float) -> bool:
         return n >= 0 and gain >= self.margin + (0 if any(r == "utf-8" for _, r in CHAINS[n]) else SWAP_EXTRA)
 
+    def is_clean(self, text: str, strict: bool) -> bool:
+        """Whether a text may teach: not damaged, or, if strict, not even suspect. A first model has counted the damage as
+        well, which hides a part of it, so its gains are too small."""
+        if LOST in text:
+            return False
+        n, gain = self.best_chain(text) if not text.isascii() else (-1, 0.0)
+        return not (n >= 0 and gain >= self.margin if strict else self.passes(n, gain))
+
     def best_chain(self, text: str) -> tuple[int, float]:
         """The chain with the largest gain over the words of a text, and the gain; (-1, 0) if there is none."""
         gains: dict[int, float] = {}
@@ -237,32 +287,88 @@ class Judge:
         return re.sub(rf"\S*{LOST}\S*", one, text)
 
 
+def _margin(gain: float) -> float:
+    """The margin above the gain that 998 of 1,000 held-out clean records stay under."""
+    return max(4.0, gain + 0.5)
+
+
 def fit(texts: list[str]) -> Judge:
-    """Train on the clean ones of the texts and validate the margin on a held-out fifth.
+    """Train on the clean ones of a list of texts and validate the margin on a held-out fifth.
 
-    A first model of all texts sorts out the damaged ones; the second is trained on the rest. The margin is the gain that 998 of
+    A first model of all texts sorts out what is suspect, a second one of the rest what is damaged; the last is trained on all
+    others. The margin is the gain that 998 of
     1,000 held-out clean records stay under plus a half, and at least 4.
     """
     texts = [t for t in texts if t]
     rough = Judge(NgramModel.train(texts)) if texts else Judge(NgramModel.train([" "]))
-    clean = [t for t in texts if LOST not in t and not rough.passes(*rough.best_chain(t))]
+    second = Judge(NgramModel.train([t for t in texts if rough.is_clean(t, strict=True)]))
+    clean = [t for t in texts if second.is_clean(t, strict=False)]
     held, rest = clean[::5], [t for k, t in enumerate(clean) if k % 5]
     judge = Judge(NgramModel.train(rest or [" "]))
     false_gains = sorted(judge.best_chain(t)[1] for t in held)
-    judge.margin = max(4.0, (false_gains[int(0.998 * (len(false_gains) - 1))] if false_gains else 0.0) + 0.5)
+    judge.margin = _margin(false_gains[int(0.998 * (len(false_gains) - 1))] if false_gains else 0.0)
     judge.cache.clear()
     judge.runs.clear()
     judge.model.known.clear()
     return judge
 
 
-def train_judge(df: DataFrame, text_col: str, rows: int = SAMPLE_ROWS) -> Judge:
-    """Fit on at most `rows` whole texts, those with the smallest hash. A fifth of them is only for validation."""
-    own = df.select(F.xxhash64(text_col, F.length(text_col)).alias("h"), F.col(text_col).alias("t")).where(F.length("t") > 0)
-    total = own.count()
-    share = min(1.0, 1.2 * rows / max(1, total))
-    picked = own.where(F.col("h") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))) if share < 1 else own
-    return fit([r[0] for r in picked.orderBy("h").limit(rows).select("t").collect()])
+def grams_of_all(texts: DataFrame, kept: Callable[[str], str | None] = lambda t: t) -> tuple[np.ndarray, np.ndarray]:
+    """`count_grams` over what `kept` makes of every text (one column); texts it makes null are left out. Each task adds up its
+    own, then the sequences are grouped; only each distinct one comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        own: list[str] = []
+        size = held = 0
+        for text in itertools.chain((t for batch in batches for t in batch.column(0).to_pylist()), [None]):
+            whole = text is not None
+            text = kept(text) if whole else None
+            if text:
+                own.append(text)
+                size += len(text)
+            if size > 1_000_000 or not whole and own:
+                found.append(count_grams(own))
+                held, own, size = held + len(found[-1][0]), [], 0
+            if held > 2_000_000 or not whole:
+                keys, number = (np.concatenate(x) for x in zip((keys, number), *found))
+                keys, number = _summed(keys, number)
+                found, held = [], 0
+            if len(keys) > 2_000_000 or not whole:
+                for at in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(number[at : at + 100_000])], names=["key", "n"])
+                keys, number = keys[:0], number[:0]
+
+    rows = spread(texts).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    return rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+
+
+def train_judge(df: DataFrame, text_col: str) -> Judge:
+    """`fit` over all texts: one pass counts for the first model, each of two more sorts out texts by the model before and counts
+    the others, one finds the gains of the held-out clean ones. Equal texts fall in the same fold. The margin's rank is exact."""
+    sc = df.sparkSession.sparkContext
+    own = df.select(F.col(text_col).alias("t")).where(F.length("t") > 0)
+    held = F.pmod(F.xxhash64("t", F.length("t")), F.lit(FOLDS)) == 0
+    first = sc.broadcast(Judge(NgramModel.counted(*grams_of_all(own))))
+    second = sc.broadcast(Judge(NgramModel.counted(*grams_of_all(own, lambda t: t if first.value.is_clean(t, strict=True) else None))))
+    judge = Judge(NgramModel.counted(*grams_of_all(own.where(~held), lambda t: t if second.value.is_clean(t, strict=False) else None)))
+    last = sc.broadcast(judge)
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [t for t in batch.column(0).to_pylist() if second.value.is_clean(t, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([last.value.best_chain(t)[1] for t in clean], pa.float64())], names=["gain"])
+
+    counts = spread(own.where(held)).mapInArrow(gains, "gain double").groupBy("gain").agg(F.count("*").alias("n")).orderBy("gain").toPandas()
+    upto = counts["n"].to_numpy(np.int64).cumsum()
+    if len(upto):
+        judge.margin = _margin(float(counts["gain"].iloc[int(np.searchsorted(upto, int(0.998 * (upto[-1] - 1)), "right"))]))
+    else:
+        judge.margin = _margin(0.0)
+    for made in (first, second, last):
+        made.unpersist()
+    return judge
 
 
 def repair_encoding(df: DataFrame, text_col: str = "extracted_text", id_col: str = "id", only_found: bool = True) -> DataFrame:
@@ -270,7 +376,8 @@ def repair_encoding(df: DataFrame, text_col: str = "extracted_text", id_col: str
 
     Null, empty and pure ASCII texts are never damaged. With `only_found=False` every row comes out, undamaged ones
     with their own text. Repeated ids are judged row by row. Other columns, whatever their names, play no part. Nothing
-    is shuffled but a table smaller than a split a core: the model, of bounded size, is broadcast and each text is read once.
+    is shuffled but counts of character sequences, gains of held-out texts and a table smaller than a split a core. The model
+    counts all texts and is broadcast; it grows with the distinct sequences of four characters. Each text is read four times.
     """
     spark = df.sparkSession
     judge = spark.sparkContext.broadcast(train_judge(df, text_col))

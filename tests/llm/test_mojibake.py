@@ -67,3 +67,17 @@ def test_lost_letters_that_were_encoded_again(judge):
     fixed, used, _ = judge.repair(bad)
     assert used and fixed == text[:at] + "\ufffd" + text[at + 1 :]
     assert judge.fill_lost("société d\ufffdlai")[-5:] == "délai" and set("éèà") <= set(judge.letters)
+
+
+def test_model_and_margin_are_of_all_texts(spark):
+    """More texts than the 3,000 that the model once was bounded to; a letter that stands in a few of them is counted in each."""
+    texts = [f"{t} {k}" + " Łódź" * (k % 300 == 7) for k, t in enumerate(" ".join(random.Random(k).choices(WORDS, k=8)) for k in range(3600))]
+    texts.append(texts[0].encode().decode("cp1252"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    judge = M.train_judge(df, "t")
+    held = {r[0] for r in df.where(f"pmod(xxhash64(t, length(t)), {M.FOLDS}) = 0").collect()}
+    rest = [t for t in texts[:-1] if t not in held]
+    assert judge.model.tables == M.NgramModel.train(rest).tables
+    assert judge.model.tables[1][ord("Ł")] == sum("Ł" in t for t in rest) > 0
+    gains = sorted(judge.best_chain(t)[1] for t in texts[:-1] if t in held)
+    assert judge.margin == max(4.0, gains[int(0.998 * (len(gains) - 1))] + 0.5)
