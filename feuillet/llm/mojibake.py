@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -130,6 +131,23 @@ class NgramModel:
                 break
         return total
 
+    def without(self, text: str, times: int) -> float:
+        """The sum of `log_p` under a model that has not counted the word itself, which stands so many times in its texts."""
+        own = f"{' ' * (ORDER - 1)}{text} "
+        ends = range(ORDER, len(own) + 1)
+        mine = Counter(own[at - n : at] for at in ends for n in range(1, ORDER + 1))
+        total = 0.0
+        for at in ends:
+            codes = [min(ord(c), 0xFFFF) for c in reversed(own[at - ORDER : at])]
+            p = self.lambdas[0] / 0x10000
+            for n in range(1, ORDER + 1):
+                below = self.tables[n - 1].get(sum(c << 16 * k for k, c in enumerate(codes[1:n])), 0) - times * mine[own[at - n : at - 1]]
+                if below > 0:
+                    seen = self.tables[n].get(sum(c << 16 * k for k, c in enumerate(codes[:n])), 0) - times * mine[own[at - n : at]]
+                    p += self.lambdas[n] * min(1.0, max(0, seen) / below)
+            total += math.log(p)
+        return total
+
     def _log(self, window: str) -> float:
         codes = [min(ord(c), 0xFFFF) for c in reversed(window)]
         p = self.lambdas[0] / 0x10000

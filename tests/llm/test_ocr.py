@@ -134,3 +134,18 @@ def test_character_error_of_held_out_records():
     before, after, touched = character_error(cleaner, held, 0.05, random.Random(3))
     print(f"character error {before:.4f} before, {after:.4f} after, {touched} words wrongly edited in {len(held)} texts")
     assert after < 0.35 * before and touched <= 0.0005 * sum(len(O.WORD.findall(t)) for t in held)
+
+
+def test_models_are_of_all_texts(spark):
+    """Character sequences, training words and lessons on lines come from every text, how many there are."""
+    texts = corpus(60) + ["Le greffier range la quittance."] * 12
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    got, whole = O.train_cleaner(df, "t", rows=20), O.fit(texts)
+    assert got.ngrams.tables == O.NgramModel.train([" ".join(t.split()) for t in texts]).tables
+    assert got.page.weights and got.page.weights == whole.page.weights
+    assert O.train_cleaner(df, "t").editor.weights == whole.editor.weights
+
+
+def test_scanned_texts_teach_nothing_about_pages():
+    text = "\n".join(["Registre des actes", *SENTENCES[:2], "Second titre", *SENTENCES[2:4], "Registre des actes", "Second titre", "Troisième", SENTENCES[4], "Troisième"])
+    assert list(O.page_lessons(text)) and not list(O.page_lessons(text + "\nle borde-\nreau"))
