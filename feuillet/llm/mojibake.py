@@ -10,7 +10,6 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -133,18 +132,29 @@ class NgramModel:
 
     def without(self, text: str, times: int) -> float:
         """The sum of `log_p` under a model that has not counted the word itself, which stands so many times in its texts."""
-        own = f"{' ' * (ORDER - 1)}{text} "
-        ends = range(ORDER, len(own) + 1)
-        mine = Counter(own[at - n : at] for at in ends for n in range(1, ORDER + 1))
+        codes = [32] * (ORDER - 1) + [min(ord(c), 0xFFFF) for c in text] + [32]
+        sums: list[tuple[list[int], list[int]]] = []  # of each character: the keys of what ends with it, and of what stands before it
+        mine: dict[tuple[int, int], int] = {}
+        for at in range(ORDER - 1, len(codes)):
+            key, before, keys, contexts = codes[at], 0, [codes[at]], [0]
+            for n in range(1, ORDER):
+                key |= codes[at - n] << 16 * n
+                before |= codes[at - n] << 16 * (n - 1)
+                keys.append(key)
+                contexts.append(before)
+            for n, key in enumerate(keys, 1):
+                mine[n, key] = mine.get((n, key), 0) + times
+            sums.append((keys, contexts))
+        mine[0, 0] = times * len(sums)
         total = 0.0
-        for at in ends:
-            codes = [min(ord(c), 0xFFFF) for c in reversed(own[at - ORDER : at])]
+        for keys, contexts in sums:
             p = self.lambdas[0] / 0x10000
             for n in range(1, ORDER + 1):
-                below = self.tables[n - 1].get(sum(c << 16 * k for k, c in enumerate(codes[1:n])), 0) - times * mine[own[at - n : at - 1]]
+                below = self.tables[n - 1].get(contexts[n - 1], 0) - mine.get((n - 1, contexts[n - 1]), 0)
                 if below > 0:
-                    seen = self.tables[n].get(sum(c << 16 * k for k, c in enumerate(codes[:n])), 0) - times * mine[own[at - n : at]]
-                    p += self.lambdas[n] * min(1.0, max(0, seen) / below)
+                    seen = self.tables[n].get(keys[n - 1], 0) - mine[n, keys[n - 1]]
+                    if seen > 0:
+                        p += self.lambdas[n] * min(1.0, seen / below)
             total += math.log(p)
         return total
 

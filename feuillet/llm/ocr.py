@@ -52,7 +52,7 @@ CODE = re.compile(r"\d\d")  # codes are never changed, and no edit gives one
 PAGE_NUMBER = re.compile(r"[-–—\[(|. ]*(?:(?:page|p\.?|pg\.?|folio|f°|feuillet|page n°)\s*)?\d{1,4}(?:\s*(?:/|sur|of|de|-)\s*\d{1,4})?[-–—\])| ]*|[-–—\[( ]*[ivxl]{1,7}[-–—\]) ]*", re.I)
 DESIGN_MARK = re.compile(r"(?:sheet|slide|diapo\w*|onglet)\b\s*:?.{0,60}", re.I)
 LINE = re.compile(r"\r\n|\n|\r")
-CUT = re.compile(rf"[^\W\d_][{HYPHENS}][^\S\r\n]*[\r\n]\s*[a-zà-ÿ]")
+CUT = re.compile(rf"[{HYPHENS}](?<=[^\W\d_].)[^\S\r\n]*[\r\n]\s*[a-zà-ÿ]")
 
 
 class WordCounts:
@@ -170,7 +170,7 @@ def readings(word: str) -> list[tuple[str, int, str, str]]:
 
 
 FOLD = [(c, to) for to, group in (("o", "0"), ("l", "1!|i"), ("s", "5"), ("c", "eéèêç6("), ("t", "f7"), ("g", "9q"), ("a", "4@à"), ("b", "8")) for c in group]
-NUMBER = re.compile(r"(?<![^\W\d_])\d[\d ./-]*(?![^\W\d_])")
+NUMBER = re.compile(r"\d(?<![^\W\d_]\d)[\d ./-]*(?![^\W\d_])")
 
 
 def fold_lines(lines: list[str]) -> list[str]:
